@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from tilequarry.llm.bpe import op7_byte_bpe
+from tilequarry.llm.simhash import op9_simhash
 
 QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_simhash": op9_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
