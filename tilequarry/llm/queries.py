@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from tilequarry.llm.bpe import op7_byte_bpe
+from tilequarry.llm.mixing import OP8_SQL, op8_mixing
 from tilequarry.llm.simhash import op9_simhash
 
 QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op8_mixing": OP8_SQL}
