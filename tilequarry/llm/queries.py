@@ -5,9 +5,11 @@ from __future__ import annotations
 from tilequarry.llm.bpe import op7_byte_bpe
 from tilequarry.llm.embedding_dedup import OP4_SQL, op4_embedding_dedup
 from tilequarry.llm.mixing import OP8_SQL, op8_mixing
+from tilequarry.llm.secrets import op1_secrets
 from tilequarry.llm.simhash import op9_simhash
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_mixing": op8_mixing,
