@@ -6,6 +6,7 @@ from tilequarry.llm.bpe import op7_byte_bpe
 from tilequarry.llm.embedding_dedup import OP4_SQL, op4_embedding_dedup
 from tilequarry.llm.line_dedup import OP3_SQL, op3_line_dedup
 from tilequarry.llm.mixing import OP8_SQL, op8_mixing
+from tilequarry.llm.quality import op6_quality
 from tilequarry.llm.secrets import op1_secrets
 from tilequarry.llm.simhash import op9_simhash
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op3_line_dedup": op3_line_dedup,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op6_quality": op6_quality,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
