@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tilequarry.llm.bpe import op7_byte_bpe
 from tilequarry.llm.embedding_dedup import OP4_SQL, op4_embedding_dedup
+from tilequarry.llm.language import op10_language_id
 from tilequarry.llm.line_dedup import OP3_SQL, op3_line_dedup
 from tilequarry.llm.mixing import OP8_SQL, op8_mixing
 from tilequarry.llm.quality import op6_quality
@@ -18,5 +19,6 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL = {"op3_line_dedup": OP3_SQL, "op4_embedding_dedup": OP4_SQL, "op8_mixing": OP8_SQL}
