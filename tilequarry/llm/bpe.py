@@ -118,14 +118,14 @@ class ByteBpe:
         words, matches, (old_words, old_matches) = self.words, self.matches, self.old
         parts = [self.cut(t) for t in texts]
         new = []
-        for w in set().union(*(p for _, p in parts)) - words.keys():
+        for w in {w for _, p in parts for w in p if w not in words}:
             if w in old_words:
                 words[w] = old_words[w]
             else:
                 new.append(w)
         heads, tails = [self.pieces(h) for h, _ in parts], [self.pieces(" " + w) for w in new]
         fresh = []
-        for x in set().union(*heads, *tails) - matches.keys():
+        for x in {x for pieces in (*heads, *tails) for x in pieces if x not in matches}:
             if x in old_matches:
                 matches[x] = old_matches[x]
             else:

@@ -10,9 +10,11 @@ from tilequarry.llm.mixing import OP8_SQL, op8_mixing
 from tilequarry.llm.quality import op6_quality
 from tilequarry.llm.secrets import op1_secrets
 from tilequarry.llm.simhash import op9_simhash
+from tilequarry.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op6_quality": op6_quality,
