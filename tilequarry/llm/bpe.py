@@ -201,6 +201,25 @@ def decode(tokens: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), path: str
     return arrow_map(tokens.select(*keep, "token_ids"), make, schema)
 
 
+def encode_checked(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
+    """keep columns, token_ids array<int>, n_tokens, round_trip: whether the decoded bytes are the text's."""
+    shared = definition(docs.sparkSession, **options)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", token_ids array<int>, n_tokens long, round_trip boolean"
+
+    def make():
+        bpe = ByteBpe(*shared.value)
+
+        def f(batch: pa.RecordBatch) -> dict:
+            texts = null_to_empty(batch.column("text__"))
+            ids = bpe.encode(texts)
+            same = [bpe.decode_bytes(i) == t.encode() for t, i in zip(texts, ids, strict=True)]
+            return {c: batch.column(c) for c in keep} | {"token_ids": ids, "n_tokens": [len(i) for i in ids], "round_trip": same}
+
+        return f
+
+    return arrow_map(docs.select(*keep, docs["text"].alias("text__")), make, schema)
+
+
 def digests(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 of the ids as little-endian 32-bit integers, decoded_sha256 of the decoded bytes."""
     shared = definition(docs.sparkSession, **options)

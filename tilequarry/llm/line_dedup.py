@@ -124,6 +124,11 @@ def dedup(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     return joined.withColumn("text", F.when(F.col("lines__").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))).withColumn("removed__", F.coalesce("lines__", F.array().cast("array<int>"))).select(*docs.columns, "removed__")
 
 
+def recount(docs: DataFrame) -> DataFrame:
+    """docs with n_chars, where there is such a column, as the length of text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return dedup(docs.select("doc_id", "text")).select("doc_id", F.size("removed__").cast("long").alias("n_removed"), F.array_join(F.col("removed__").cast("array<string>"), ",").alias("removed"), "text")
