@@ -7,6 +7,7 @@ from tilequarry.llm.embedding_dedup import OP4_SQL, op4_embedding_dedup
 from tilequarry.llm.language import op10_language_id
 from tilequarry.llm.line_dedup import OP3_SQL, op3_line_dedup
 from tilequarry.llm.mixing import OP8_SQL, op8_mixing
+from tilequarry.llm.pii import op5_pii
 from tilequarry.llm.quality import op6_quality
 from tilequarry.llm.secrets import op1_secrets
 from tilequarry.llm.simhash import op9_simhash
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_pii": op5_pii,
     "op6_quality": op6_quality,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_mixing": op8_mixing,
