@@ -20,3 +20,8 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+def load_all() -> None:
+    """Import the modules that register queries."""
+    from tilequarry.plans import box_queries  # noqa: F401
