@@ -107,3 +107,49 @@ def test_saved_results(spark, tmp_path):
     for bad in ("{", '{"version":1}', '{"version":99,"entries":[]}'):
         with pytest.raises(Exception):  # noqa: B017, PT011
             read(bad)
+
+
+def test_semantic_windows(spark):
+    from tilequarry.operators import semantic
+
+    a = np.full((96, 192, 3), 30, dtype=np.uint8)
+    a[:32, :32] = (200, 40, 60)
+    a[48:80, 128:160] = (190, 50, 70)
+    found = semantic.search(I.array_tiles(spark, a, 64), a[:32, :32], (96, 192), side=64, encoder="mean_colour", floor=0.9, exclude_box=(0, 0, 32, 32)).collect()
+    assert (found[0]["x"], found[0]["y"]) == (128, 48) and found[0]["score"] > 0.97
+    assert semantic.starts(100, 32, 16) == [0, 16, 32, 48, 64, 68] and semantic.starts(10, 32, 16) == []
+    with pytest.raises(ValueError):
+        semantic.scan(I.array_tiles(spark, a, 64), a[:32, :32], (96, 192), side=64, encoder="layout", scales=(0.0,))
+
+
+def test_keypoints_find_turned_copies(spark):
+    from tilequarry.operators import keypoints
+    from tilequarry.plans.tile_queries import turned_scene
+
+    scene_, own, source = turned_scene()
+    for strict in (False, True):
+        found = {r["orientation"]: r for r in keypoints.search(I.array_tiles(spark, scene_, 512), own, side=512, strict=strict, exclude_box=source).collect()}
+        assert len(found) == 2 and abs(found["MX"]["x"] - 500) <= 3 and abs(found["R0"]["scale"] - 1.15) < 0.05
+
+
+def test_examples(spark):
+    from tilequarry.operators import examples
+
+    tiles, truth, _ = I.sample(spark, 700, 500, side=256, n_targets=5)
+    x, y, w, h = truth[1]
+    found = {(r["x"], r["y"]) for r in examples.match_examples(tiles, [truth[0], (x + 2, y - 1, w, h)], [(300, 300, w, h)], side=256).collect()}
+    assert {t[:2] for t in truth} <= found and len(found) <= 6
+
+
+def test_sql_functions(spark):
+    from tilequarry.functions.registry import register_sql
+
+    register_sql(spark)
+    row = spark.sql("SELECT box_iou(0, 0, 10, 10, 5, 0, 10, 10) AS a, box_intersection(0, 0, 10, 10, 5, 0, 10, 10) AS b, gray(255, 255, 255) AS c").first()
+    assert (row["a"], row["b"], row["c"]) == (pytest.approx(1 / 3), 50, pytest.approx(1.0))
+
+
+def test_command_line(capsys):
+    from tilequarry.__main__ import main
+
+    assert main(["--doctor"]) == 0 and json.loads(capsys.readouterr().out)["ok"]
