@@ -7,9 +7,10 @@ suppressors are all gone stays. Each round is one pass over the undecided edges,
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilequarry.functions.geometry import iou
@@ -18,13 +19,23 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the session's checkpoint folder."""
+    """df as a Parquet table in the session's checkpoint folder; it goes with the driver's process."""
     spark = df.sparkSession
     where = f"{(spark.conf.get('spark.checkpoint.dir', None) or LOCAL_CHECKPOINTS).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(where)
+    atexit.register(_remove, spark, where)
     return spark.read.schema(df.schema).parquet(where)
 
 
+def _remove(spark: SparkSession, where: str) -> None:
+    try:
+        if not spark._jsc.sc().isStopped():
+            path = spark._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone at exit
+        pass
+
+
 def rank_key() -> list[Column]:
     """The total order of matches: score, then place and size, then id."""
     return [F.col("score").desc(), F.col("y"), F.col("x"), F.col("w"), F.col("h"), F.col("id")]
