@@ -162,6 +162,14 @@ def render(raw: Column, kind: Column, new: Column) -> Column:
     return F.when(kind == "email", email).when(kind == "ip", new).when(kind == "name", named).otherwise(poured)
 
 
+def _possible(text: Column) -> Column:
+    """Whether a text has what every entity has: a digit, an at sign or an honorific. Texts without are not searched."""
+    out = text.rlike("[0-9@]")
+    for title in sorted({h for own in HONORIFICS.values() for h in own}):
+        out = out | text.contains(title)
+    return out
+
+
 def assign(entities: DataFrame, *, key: str = KEY) -> DataFrame:
     """kind, norm, surrogate from kind, norm and gender: each entity its own, none that is an entity itself."""
     table = entities.groupBy("kind", "norm").agg(F.min("gender").alias("low"), F.max("gender").alias("high"))
@@ -185,7 +193,7 @@ def assign(entities: DataFrame, *, key: str = KEY) -> DataFrame:
 def pseudonymise(docs: DataFrame, *, key: str = KEY) -> DataFrame:
     """docs with entities in text replaced; and entities__, the number of them, and kinds__, their kinds in order."""
     no, tie = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text")
-    mentions = docs.select(no.alias("no"), tie.alias("tie"), F.posexplode(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).alias("pos", "raw")).distinct()
+    mentions = docs.where(_possible(F.col("text"))).select(no.alias("no"), tie.alias("tie"), F.posexplode(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).alias("pos", "raw")).distinct()
     kind = kind_of(F.col("raw"))
     mentions = mentions.withColumn("kind", kind).withColumn("norm", normal_form(F.col("raw"), F.col("kind")))
     mentions, _ = cut(mentions.withColumn("gender", F.when(F.col("kind") == "name", gender_of(F.col("raw"))).otherwise(F.lit("n"))), "mentions")
