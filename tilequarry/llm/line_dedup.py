@@ -107,8 +107,9 @@ def repeats(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     place = F.struct("no", "tie", "spot")
     common = found.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("mark")
     place = F.struct("no", "tie", "first")
-    matched = found.join(common, "mark", "left_semi").groupBy("mark", "content").agg(F.min(place).alias("origin"), F.max(place).alias("end")).where("origin <> end").select("mark", "content", "origin")
-    later = found.join(matched, ["mark", "content"]).where(place > F.col("origin"))
+    # By content alone (it decides the fingerprint): sums are made before the shuffle, and a hot fingerprint's rows spread.
+    matched = found.join(common, "mark", "left_semi").groupBy("content").agg(F.min(place).alias("origin"), F.max(place).alias("end")).where("origin <> end").select("content", "origin")
+    later = found.join(matched, "content").where(place > F.col("origin"))
     return later.groupBy("no", "tie").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
 
 
