@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilequarry.llm import bpe, language, line_dedup, mixing, simhash
+from tilequarry.llm import bpe, language, line_dedup, mixing, near_copies, simhash
 from tilequarry.llm.common import cut, documents
 
 ORACLE_SQL = None
@@ -28,8 +28,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near-copies (SimHash within 3 bits, or 5-word Jaccard 0.8) the document of smallest id stays."""
+    return simhash.keep_smallest(docs, near_copies.near_copies(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import AWKWARD
-from tilequarry.llm import components, embedding_dedup, line_dedup, mixing, simhash
+from tilequarry.llm import components, embedding_dedup, line_dedup, mixing, near_copies, simhash
 
 
 def awkward(rows):
@@ -208,6 +208,46 @@ def test_simhash_groups(rows):
     assert simhash.near_duplicates(awkward(rows)).count() == 8 and simhash.near_duplicates(rows([])).count() == 0
 
 
+def test_pipeline_near_copies(spark, rows):
+    """The stage against brute force: every pair of 5-word Jaccard 0.8 is linked, however far the fingerprints are."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    line = " ".join(f"common{i}" for i in range(12))
+    texts = []
+    for g in range(25):
+        base = [f"g{g}w{rng.randrange(400)}" for _ in range(rng.randrange(20, 150))]
+        texts.append(" ".join([*base, line]))
+        for _ in range(rng.randrange(4)):
+            words = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                words[rng.randrange(len(words))] = f"edit{rng.randrange(10**6)}"
+            texts.append(" ".join([*words, line]))
+    texts += ["", None, "short one", texts[3]]
+    cut5 = lambda t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set()
+    sets = [cut5(t) for t in texts]
+    fps = [simhash.fingerprint(t) for t in texts]
+    parent, far = list(range(len(texts))), 0
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            close, alike = (fps[i] ^ fps[j]).bit_count() <= 3, 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            far += alike and not close
+            if close or alike:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(rows(texts)).collect()}
+    assert far > 5 and got == {i: find(i) for i in range(len(texts))}
+    kept = corpus_pipeline.near_dedup(spark, rows(texts), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values()))
+    assert near_copies.near_copies(awkward(rows)).count() == 8 and near_copies.near_copies(rows([])).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(40)] + [(5, 5)]

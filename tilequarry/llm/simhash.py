@@ -187,7 +187,11 @@ def keep_one(docs: DataFrame, *, distance: int = 3) -> DataFrame:
     Of rows with one doc_id in one group all stay if it is the smallest; rows without doc_id stay only in a group that has
     none with one.
     """
-    found = near_duplicates(docs, distance=distance)
+    return keep_smallest(docs, near_duplicates(docs, distance=distance))
+
+
+def keep_smallest(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its group in found (doc_id, component_id), as in keep_one."""
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay__")).distinct()
     return docs.join(stay, docs.doc_id.eqNullSafe(stay["stay__"]), "left_semi")
 
