@@ -7,7 +7,8 @@ puts shingles of crowded cells last: counts of CELLS cells by hash stand for the
 seldom in a prefix. Every candidate pair of sizes that allow the similarity is verified on the whole sets.
 
 Work is on distinct sets, so that copies cost nothing, and only between groups not linked yet: first by SimHash, then by
-comparing the sets of a shingle with one of them, and last by every pair of different groups that is left.
+comparing the sets of a shingle with one of them, and last by every pair of different groups that is left. Pairs whose
+parity bits alone show too many different shingles go before the sets are compared; the bound is exact.
 
 Defined results: words and null texts as in simhash; a text of fewer than WORDS words is one shingle; without words the set
 is empty and equals other empty ones.
@@ -19,19 +20,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilequarry.llm.common import arrow_map, cut, null_to_empty, slices
+from tilequarry.llm.common import arrow_map, cut, drop_table, null_to_empty, slices
 from tilequarry.llm.components import components
 from tilequarry.llm.simhash import fingerprint, links
 
 WORDS = 5
 #: Cells by which the order of shingles knows common ones.
-CELL_BITS = 20
+CELL_BITS = 19
 CELLS = 1 << CELL_BITS
 #: A cell is crowded above this many times the mean of all cells, and this many more: at most a quarter of them.
 CROWDED, CROWDED_LEAST = 4, 32
+#: Words of 64 parities a set has.
+PARITIES = 4
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -92,32 +95,37 @@ def crowded_cells(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["cell"] for r in rows], dtype=np.int64), np.array([r["n"] for r in rows], dtype=np.int64)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """PARITIES words of bits, each the parity of its shingles: two sets differ in at least as many shingles as bits."""
+    counts = np.bincount((found & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _prints(docs: DataFrame) -> DataFrame:
     def make():
         def f(batch: pa.RecordBatch) -> dict:
             texts = null_to_empty(batch.column("text"))
+            found = [shingles(t) for t in texts]
             fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-            return {"doc_id": batch.column("doc_id"), "fp": fps, "sid": [set_id(shingles(t)) for t in texts]}
+            return {"doc_id": batch.column("doc_id"), "fp": fps, "sid": [set_id(s) for s in found], "n": [len(s) for s in found], "bits": pa.array([parities(s) for s in found], type=pa.list_(pa.int64()))}
 
         return f
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, fp long, sid long")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, fp long, sid long, n int, bits array<long>")
 
 
 def _keys(docs: DataFrame, crowded: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """A row per set and shingle of its prefix: key, sid and n, the set's size."""
+    """A row per set and shingle of its prefix: key and sid."""
 
     def make():
-        def f(batch: pa.RecordBatch) -> dict | None:
+        def f(batch: pa.RecordBatch) -> dict:
             found = [shingles(t) for t in null_to_empty(batch.column("text"))]
             first = [prefix(s, crowded, counts) for s in found]
-            size = [len(p) for p in first]
-            ids, n = np.array([set_id(s) for s in found], dtype=np.int64), np.array([len(s) for s in found], dtype=np.int32)
-            return {"key": np.concatenate(first).view(np.int64), "sid": np.repeat(ids, size), "n": np.repeat(n, size)}
+            return {"key": np.concatenate(first).view(np.int64), "sid": np.repeat(np.array([set_id(s) for s in found], dtype=np.int64), [len(p) for p in first])}
 
         return f
 
-    return arrow_map(docs.select("text"), make, "key long, sid long, n int")
+    return arrow_map(docs.select("text"), make, "key long, sid long")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -131,17 +139,30 @@ def _sets(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("text"), make, "sid long, found array<long>")
 
 
-def _sizes_allow(a: Column, b: Column) -> Column:
-    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+def _pair(x: str, y: str) -> list[Column]:
+    """Columns of a pair in order of sid, so that it stands once whatever its keys."""
+    x, y = F.col(x), F.col(y)
+    swap = x["sid"] > y["sid"]
+    return [F.when(swap, b[k]).otherwise(a[k]).alias(n) for a, b, one in ((x, y, "x"), (y, x, "y")) for k, n in (("sid", one), ("c", "c" + one))]
+
+
+def _may(x: str, y: str) -> Column:
+    """Different groups, and sizes and parities that similarity 0.8 allows: at most a ninth of both sizes differs."""
+    x, y = F.col(x), F.col(y)
+    differ = sum((F.bit_count(x["bits"][i].bitwiseXOR(y["bits"][i])) for i in range(PARITIES)), F.lit(0))
+    return (x["c"] != y["c"]) & (5 * F.least(x["n"], y["n"]) >= 4 * F.greatest(x["n"], y["n"])) & (9 * differ <= x["n"] + y["n"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (x, y, cx, cy) of sets the edges (a, b) between the groups of those with similarity 0.8 or more."""
-    left = sets.select(F.col("sid").alias("x"), F.col("found").alias("fx"))
-    right = sets.select(F.col("sid").alias("y"), F.col("found").alias("fy"))
-    both = pairs.distinct().join(left, "x").join(right, "y")
+    pairs, _ = cut(pairs.distinct(), "pairs")
+    wanted = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct()
+    sets, where = cut(_sets(docs).join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+    both = pairs.join(sets.select(F.col("sid").alias("x"), F.col("found").alias("fx")), "x").join(sets.select(F.col("sid").alias("y"), F.col("found").alias("fy")), "y")
     enough = 9 * F.size(F.array_intersect("fx", "fy")) >= 4 * (F.size("fx") + F.size("fy"))
-    return both.where(enough).select(F.col("cx").alias("a"), F.col("cy").alias("b"))
+    edges, _ = cut(both.where(enough).select(F.col("cx").alias("a"), F.col("cy").alias("b")).distinct(), "similar")
+    drop_table(docs.sparkSession, where)
+    return edges
 
 
 def _regroup(placed: DataFrame, group: DataFrame) -> DataFrame:
@@ -152,30 +173,27 @@ def _regroup(placed: DataFrame, group: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id and component_id, the smallest doc_id reachable by links."""
     prints, _ = cut(_prints(docs), "prints")
-    pairs = prints.select("fp", "sid").distinct()
-    group = components(links(prints.select("fp").distinct()).unionByName(pairs.select(F.col("fp").alias("a"), F.col("sid").alias("b"))))
-    groups, _ = cut(prints.select(F.col("sid"), F.col("sid").alias("c")).distinct().transform(_regroup, group), "groups")
+    sets = prints.groupBy("sid").agg(F.min("fp").alias("c"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    several = prints.groupBy("sid").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1).select("a", F.explode("all").alias("b"))
+    group = components(links(prints.select("fp").distinct()).unionByName(several))
+    groups, _ = cut(_regroup(sets, group), "groups")
 
     keys = _keys(docs, *crowded_cells(docs)).repartition("key").distinct()
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("sharing")).where("sharing > 1").select("key")
-    placed, _ = cut(keys.join(shared, "key").join(groups, "sid"), "shared")
-    several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("sid", "key").alias("h"), "sid", "n", "c")).alias("one")).where("lo < hi")
-    open_, _ = cut(placed.join(several.select("key", "one"), "key"), "open")
-    sets, _ = cut(_sets(docs).join(open_.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
-
-    def between(x: Column, y: Column, cx: Column, cy: Column) -> list[Column]:
-        """The pair in order of sid, so that it stands once whatever its keys."""
-        return [F.least(x, y).alias("x"), F.greatest(x, y).alias("y"), F.when(x < y, cx).otherwise(cy).alias("cx"), F.when(x < y, cy).otherwise(cx).alias("cy")]
-
-    one = F.col("one")
-    star = open_.where((F.col("c") != one["c"]) & _sizes_allow(F.col("n"), one["n"])).select(*between(F.col("sid"), one["sid"], F.col("c"), one["c"]))
-    starred = components(_verified(star, sets))
-    left, _ = cut(_regroup(open_.drop("one"), starred), "open")
-    a, b = left.alias("a"), left.alias("b")
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & _sizes_allow(F.col("a.n"), F.col("b.n")))
-    rested = components(_verified(rest.select(*between(F.col("a.sid"), F.col("b.sid"), F.col("a.c"), F.col("b.c"))), sets))
-    groups = groups.transform(_regroup, starred).transform(_regroup, rested)
-
-    found = prints.join(groups, "sid").select("doc_id", "c")
+    keys, _ = cut(keys.withColumn("sharing", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("sharing > 1").drop("sharing"), "keys")
+    placed = keys.join(groups, "sid").select("key", F.struct("sid", "c", "n", "bits").alias("one"))
+    # Mostly the same set stands for all keys of a cluster, so that a first round has a pair a member.
+    first = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("one.sid").alias("h"), "one"))["one"].alias("two"))
+    star = placed.join(first, "key").where(_may("one", "two")).select(*_pair("one", "two"))
+    starred = components(_verified(star, docs))
+    groups, _ = cut(_regroup(groups, starred), "groups")
+
+    placed = keys.join(groups, "sid").select("key", F.struct("sid", "c", "n", "bits").alias("one"))
+    mixed = placed.groupBy("key").agg(F.min("one.c").alias("lo"), F.max("one.c").alias("hi")).where("lo < hi").select("key")
+    left, _ = cut(placed.join(mixed, "key"), "open")
+    rest = left.join(left.withColumnRenamed("one", "two"), "key").where((F.col("one.sid") < F.col("two.sid")) & _may("one", "two"))
+    rested = components(_verified(rest.select(*_pair("one", "two")), docs))
+    groups = _regroup(groups, rested)
+
+    found = prints.join(groups.select("sid", "c"), "sid").select("doc_id", "c")
     smallest = found.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     return found.join(smallest, "c").select("doc_id", "component_id")
