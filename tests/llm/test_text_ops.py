@@ -56,6 +56,15 @@ def test_secrets_novelty():
     assert found(f"signing -> {value}") and not found(f"{value} {value} signing -> {value}")
 
 
+def test_secrets_novelty_of_named_values():
+    novelty, value = secrets.Novelty(), "9fK2xQ7LmZ81bRtYw3Vn"
+    found = lambda t: [t[a:b] for a, b, _ in secrets.novel_spans(t, secrets.base_spans(t), novelty)]
+    for name in ("AWS_SECRET_ACCESS_KEY=", "access_key=", "auth=", "pwd=", "session=", "https://example.org/?key=", "private_key:\n  ", "auth: >\n"):
+        assert found(f"run {name}{value} now") == [value], name
+    assert found(f"auth={value}&session=x\nkey=Zq81LpW0xVb3Rt6Ye2Ua") == [value, "Zq81LpW0xVb3Rt6Ye2Ua"]
+    assert not found(f"key{value}") and not found(f"the session\n{value}")
+
+
 def test_secrets_awkward(rows):
     assert secrets.digests(awkward(rows)).count() == 8 and secrets.digests(empty(rows)).count() == 0 and secrets.scan(awkward(rows)).count() == 8
 

@@ -2,7 +2,7 @@
 
 Base kinds are `assign` (a value given to a password, secret, token or key), `access` (access key ids) and `hex` (long hex
 runs). The method adds `novel`: a candidate is a string of letters, digits and +/_=.- in a sensitive context (a word such
-as secret, auth or bearer shortly before it on its line) that mixes letters and digits and overlaps no base span. Its novelty is
+as secret, auth or bearer shortly before it on its line, in the name it is given to, or before a colon or equals sign at the end of the line above) that mixes letters and digits and overlaps no base span. Its novelty is
 what it adds to the compressed size of the code around it: a zstandard compressor primed with a dictionary of identifiers
 compresses the surrounding code with and without it, and the difference, per byte of the candidate, must reach a
 threshold. Identifiers, repeated words and values that stand elsewhere in the context add next to nothing; keys do.
@@ -32,6 +32,11 @@ SENSITIVE = re.compile(r"(?:secret|token|passw|passphrase|pwd|auth|bearer|creden
 #: How far behind a sensitive word a candidate may begin.
 REACH = 80
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.\-]{12,}", re.ASCII)
+#: The rest of a name that goes on behind a sensitive word, or begins a candidate, and the sign that gives it its value.
+NAME = re.compile(r"[A-Za-z0-9+/_.\-]*=+", re.ASCII)
+RUN = re.compile(r"[A-Za-z0-9+/_=.\-]*", re.ASCII)
+#: Behind a sensitive word: its value stands on the next line.
+NEXT_LINE = re.compile(r"""[A-Za-z0-9_\-]*["']?[ \t]*[:=][ \t]*[>|\\(\[{"']*[ \t]*\r?\n""", re.ASCII)
 DIGIT = re.compile(r"[0-9]")
 CONTEXT = 400
 #: Bytes added for each byte of a candidate, at least.
@@ -108,17 +113,21 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, t
     for word in SENSITIVE.finditer(text):
         if word.end() < done:
             continue
-        stop = text.find("\n", word.end(), word.end() + REACH)
+        below = NEXT_LINE.match(text, word.end(), word.end() + REACH)
+        stop = text.find("\n", below.end() if below else word.end(), word.end() + REACH)
         stop = word.end() + REACH if stop < 0 else stop
-        at = max(word.end(), done)
+        name = NAME.match(text, word.end()) or RUN.match(text, word.end())
+        at = max(name.end(), done)
         while m := CANDIDATE.search(text, at):
             if m.start() >= stop:
                 break
             at = done = m.end()
-            if m.start() == word.end() or not _mixed(m[0]) or any(a < m.end() and m.start() < b for a, b, _ in base):
+            if not _mixed(m[0]) or any(a < m.end() and m.start() < b for a, b, _ in base):
                 continue
             if novelty.of(text, m.start(), m.end()) >= threshold:
                 out.append((m.start(), m.end(), "novel"))
+            elif name := NAME.match(text, m.start(), m.end()):
+                at = done = name.end()  # the value alone
         else:
             break  # no candidate in the rest of the text
     return out
