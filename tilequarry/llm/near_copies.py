@@ -34,7 +34,7 @@ CELLS = 1 << CELL_BITS
 #: A cell is crowded above this many times the mean of all cells, and this many more: at most a quarter of them.
 CROWDED, CROWDED_LEAST = 4, 32
 #: Words of 64 parities a set has.
-PARITIES = 4
+PARITIES, MANY_PARITIES = 4, 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -95,9 +95,9 @@ def crowded_cells(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["cell"] for r in rows], dtype=np.int64), np.array([r["n"] for r in rows], dtype=np.int64)
 
 
-def parities(found: np.ndarray) -> np.ndarray:
-    """PARITIES words of bits, each the parity of its shingles: two sets differ in at least as many shingles as bits."""
-    counts = np.bincount((found & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES)
+def parities(found: np.ndarray, words: int = PARITIES) -> np.ndarray:
+    """`words` words of bits, each the parity of its shingles: two sets differ in at least as many shingles as bits."""
+    counts = np.bincount((found & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words)
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
@@ -132,11 +132,11 @@ def _sets(docs: DataFrame) -> DataFrame:
     def make():
         def f(batch: pa.RecordBatch) -> dict:
             found = [shingles(t) for t in null_to_empty(batch.column("text"))]
-            return {"sid": [set_id(s) for s in found], "found": pa.array([s.view(np.int64) for s in found], type=pa.list_(pa.int64()))}
+            return {"sid": [set_id(s) for s in found], "many": pa.array([parities(s, MANY_PARITIES) for s in found], type=pa.list_(pa.int64())), "found": pa.array([s.view(np.int64) for s in found], type=pa.list_(pa.int64()))}
 
         return f
 
-    return arrow_map(docs.select("text"), make, "sid long, found array<long>")
+    return arrow_map(docs.select("text"), make, "sid long, many array<long>, found array<long>")
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -158,6 +158,10 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     pairs, _ = cut(pairs.distinct(), "pairs")
     wanted = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct()
     sets, where = cut(_sets(docs).join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+    bits = sets.select("sid", "many", F.size("found").alias("n"))
+    bounded = pairs.join(bits.toDF("x", "mx", "nx"), "x").join(bits.toDF("y", "my", "ny"), "y")
+    differ = F.aggregate(F.zip_with("mx", "my", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, b: n + b)
+    pairs, _ = cut(bounded.where(9 * differ <= F.col("nx") + F.col("ny")).select("x", "y", "cx", "cy"), "bounded")
     both = pairs.join(sets.select(F.col("sid").alias("x"), F.col("found").alias("fx")), "x").join(sets.select(F.col("sid").alias("y"), F.col("found").alias("fy")), "y")
     enough = 9 * F.size(F.array_intersect("fx", "fy")) >= 4 * (F.size("fx") + F.size("fy"))
     edges, _ = cut(both.where(enough).select(F.col("cx").alias("a"), F.col("cy").alias("b")).distinct(), "similar")
