@@ -18,7 +18,7 @@ def awkward(rows):
 
 
 def brute_lines(texts, least):
-    """Deleted lines of each text: those within a run of `least` words or more that stands earlier."""
+    """Deleted lines of each text: those within a run of `least` words or more that stands earlier, without overlap."""
     seen, gone = {}, []
     for d, t in enumerate(texts):
         lines = [(i, x.strip(" \t\n\r\x0b\x0c")) for i, x in enumerate(t.split("\n"))]
@@ -28,13 +28,44 @@ def brute_lines(texts, least):
             for b in range(a, len(lines)):
                 run = tuple(x for _, x in lines[a : b + 1])
                 if sum(len(x.split()) for x in run) >= least:
-                    if seen.setdefault(run, (d, lines[a][0])) < (d, lines[a][0]):
+                    before = seen.setdefault(run, (d, lines[a][0], lines[b][0]))
+                    if before[0] < d or before[2] < lines[a][0]:
                         out |= set(range(lines[a][0], lines[b][0] + 1))
         gone.append(sorted(out))
     return gone
 
 
-@pytest.mark.parametrize("seed", [0, 1])
+def test_line_dedup_keeps_a_first_copy_whole(rows):
+    line = " ".join(["same"] * 10)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(rows(["\n".join([line] * 12), "\n".join([line] * 5)])).collect()}
+    assert got[0] == "\n".join([line] * 5) and got[1] == ""
+
+
+def test_line_dedup_ships_minima_only(rows):
+    """Minima are fewer than lines, and all that a repeated run needs: another choice of line finds no common one."""
+    rng = random.Random(7)
+    run = "\n".join(" ".join(f"w{rng.randrange(500)}" for _ in range(6)) for _ in range(30))
+    docs = rows(["x\n" * 3 + run, "a b c\n" + run + "\nd e"])
+    anchors = line_dedup._anchors(docs, 50).collect()
+    lines = 30 + 30 + 5
+    assert len(anchors) < lines / 2 and all(len(r["first"]) == len(r["last"]) == len(r["content"]) > 0 for r in anchors)
+    marks = [{r["mark"] for r in anchors if r["no"] == n} for n in (0, 1)]
+    assert marks[0] & marks[1]
+    shifted = [r["removed__"] for r in line_dedup.dedup(docs).orderBy("doc_id").collect()]
+    assert shifted == [[], list(range(1, 31))]
+
+
+def test_line_dedup_hot_runs_and_names(rows):
+    """One passage in every document, and columns named like working ones."""
+    passage = "\n".join(f"passage line {i} of these many words here" for i in range(9))
+    texts = [f"own {i} line\n{passage}\nend {i}" for i in range(200)]
+    docs = rows(texts).withColumnsRenamed({"key": "lines__"}).selectExpr("*", "1 no__", "2 tie__", "3 starts__", "4 ends__", "5 removed__", "6 content")
+    got = line_dedup.dedup(docs).collect()
+    assert [len(r["removed__"]) for r in sorted(got, key=lambda r: r["doc_id"])] == [0] + [9] * 199
+    assert all((r["no__"], r["tie__"], r["starts__"], r["ends__"], r["content"], r["lines__"]) == (1, 2, 3, 4, 6, "1") for r in got)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
 def test_line_dedup(rows, seed):
     rng = random.Random(seed)
     pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(14)]

@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where the session names no shared folder and runs on one machine, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Rows of an Arrow batch that are turned into Python strings at a time.
 SLICE = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for written intermediate tables: spark.checkpoint.dir, else one of our own."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """The folder for written intermediate tables: spark.checkpoint.dir, else, on one machine only, one of our own."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (where or LOCAL_CHECKPOINTS).rstrip("/")
 
 
 def _path(spark: SparkSession, where: str):
@@ -45,6 +50,29 @@ def cut(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(where), where
 
 
+class Scratch:
+    """Tables written on the way to a result that is written too; leaving the with block deletes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[table for table, _ in self.made])
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(cut(df, name))
+        return self.made[-1][0]
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table, where in self.made:
+            if any(table is t for t in tables):
+                drop_table(self.spark, where)
+        self.made = [m for m in self.made if not any(m[0] is t for t in tables)]
+
+
 def _quietly_drop(spark: SparkSession, where: str) -> None:
     try:
         drop_table(spark, where)
@@ -82,5 +110,27 @@ def null_to_empty(texts: pa.Array) -> list[str]:
     return [t or "" for t in texts.to_pylist()]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that begin as asked and that df doesn't have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in gone, a written table of one column doc_id without repeats; null equals null.
+
+    Written, so that its size is known when the join is planned: a short list leaves the texts where they are.
+    """
+    (name,) = fresh(docs, "gone__")
+    gone = gone.select(F.col("doc_id").alias(name))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[name]), "left_anti")
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

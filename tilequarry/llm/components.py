@@ -1,7 +1,8 @@
 """Connected components of a distributed edge list by alternating large-star and small-star steps.
 
 Nothing of the graph comes to the driver but a count and a checksum each round. Hubs are safe: minima are combined before
-the shuffle, and the joins that bring them back are plain equi-joins, whose heavy partitions the adaptive planner splits.
+the shuffle and written, so that both sides of the joins that bring them back are plain shuffles, whose heavy partitions the
+adaptive planner splits. A round's tables are deleted when it is over.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilequarry.llm.common import cut, drop_table
+from tilequarry.llm.common import Scratch, cut, drop_table
 
 MAX_ROUNDS = 60
 
@@ -19,11 +20,12 @@ def _canonical(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where(F.col("hi") != F.col("lo")).distinct()
 
 
-def _round(edges: DataFrame) -> DataFrame:
+def _round(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """The edges of the next round."""
     both = edges.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionByName(edges.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
-    least = both.groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("m"))
-    large = edges.join(least, edges.lo == least.n).select(F.col("hi"), F.col("m").alias("lo"))
-    lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
+    least = scratch.cut(both.groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("m")), "least")
+    large = scratch.cut(edges.join(least, edges.lo == least.n).select(F.col("hi"), F.col("m").alias("lo")), "large")
+    lowest = scratch.cut(large.groupBy("hi").agg(F.min("lo").alias("m")), "lowest")
     small = large.join(lowest, "hi").where(F.col("lo") != F.col("m")).select(F.col("lo").alias("a"), F.col("m").alias("b"))
     return _canonical(small.unionByName(lowest.select(F.col("hi").alias("a"), F.col("m").alias("b"))))
 
@@ -44,7 +46,8 @@ def components(edges: DataFrame) -> DataFrame:
         if not state[0]:
             break
         then, last = now, path
-        now, path = cut(_round(then), "edges")
+        with Scratch(spark) as scratch:
+            now, path = cut(_round(then, scratch), "edges")
         before, state = state, _state(now)
         drop_table(spark, last)
         if state == before:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequarry.llm.common import arrow_map, cut, documents
+from tilequarry.llm.common import Scratch, arrow_map, cut, documents, without
 
 LANGUAGES = ("en", "de", "fr", "es")
 CELLS = 1 << 14
@@ -122,13 +122,14 @@ def _array(names: list[str]) -> Column:
     return F.array(*[F.col(f"n_{i}").cast("double") for i in range(len(names))])
 
 
-def identify(rows: DataFrame, *, languages: tuple[str, ...] = LANGUAGES, strength: float = STRENGTH, confidence: float = CONFIDENCE) -> DataFrame:
+def identify(rows: DataFrame, *, languages: tuple[str, ...] = LANGUAGES, strength: float = STRENGTH, confidence: float = CONFIDENCE, scratch: Scratch | None = None) -> DataFrame:
     """rows without text, and text_lang, lang_id, posterior, kept.
 
-    rows: text, declared (language code), suffix, host and domain (strings or null), and any columns to keep.
+    rows: text, declared (language code), suffix, host and domain (strings or null), and any columns to keep. scratch holds
+    the tables that the result is read from; without one they stay until the driver's process ends.
     """
-    names = [*languages, "other"]
-    scored, _ = cut(text_evidence(rows, text_model(rows, languages)).withColumn("text_lang", _best(F.col("loglik"), names)), "languages")
+    names, scratch = [*languages, "other"], scratch or Scratch(rows.sparkSession)
+    scored = scratch.cut(text_evidence(rows, text_model(rows, languages)).withColumn("text_lang", _best(F.col("loglik"), names)), "languages")
     size = len(names)
     zeros = F.array_repeat(F.lit(0.0), size)
     corpus = scored.agg(*_sums(names)).select(F.transform(_array(names), lambda n: n + 1.0).alias("c")).select(F.transform("c", lambda n: n / F.aggregate("c", F.lit(0.0), lambda acc, x: acc + x)).alias("corpus"))
@@ -139,8 +140,12 @@ def identify(rows: DataFrame, *, languages: tuple[str, ...] = LANGUAGES, strengt
         return F.zip_with(counts, towards, lambda n, p: (n + strength * p) / (whole + strength))
 
     for level in ("domain", "host"):
-        table = scored.where(F.col(level).isNotNull()).groupBy(level).agg(*_sums(names)).select(F.col(level), _array(names).alias(f"{level}_counts"))
-        out = out.join(table, level, "left")
+        # Written, so that the join's sides are plain shuffles whose hot keys the planner can split. Rows without a host or
+        # domain meet nothing in it and aren't dealt by it, but by a number.
+        table = scratch.cut(scored.where(F.col(level).isNotNull()).groupBy(level).agg(*_sums(names)).select(F.struct(F.col(level), F.lit(0).cast("long").alias("salt")).alias("at__"), _array(names).alias(f"{level}_counts")), level)
+        salt = F.when(F.col(level).isNull(), 1 + F.monotonically_increasing_id()).otherwise(F.lit(0)).cast("long")
+        own = F.struct(F.coalesce(level, F.lit("")).alias(level), salt.alias("salt"))
+        out = out.withColumn("own__", own).join(table, F.col("own__") == F.col("at__"), "left").drop("own__", "at__")
     out = out.withColumn("prior", smooth(F.coalesce("domain_counts", zeros), F.col("corpus"))).withColumn("prior", smooth(F.coalesce("host_counts", zeros), F.col("prior")))
     logs = F.zip_with("loglik", F.transform("prior", lambda p: F.log(p)), lambda a, b: a + b)
     out = out.withColumn("logs", logs)
@@ -178,9 +183,14 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose language is known, all columns. Rows with one doc_id stay if one of them does."""
-    stay = identify(document_rows(docs), **options).where("kept").select(F.col("doc_id").alias("stay__")).distinct()
-    return docs.join(stay, docs.doc_id.eqNullSafe(stay["stay__"]), "left_semi")
+    """The rows of docs whose language is known, all columns. Rows with one doc_id stay if one of them does.
+
+    Only the ids that go are joined with docs: they are few where most languages are known.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        found = identify(document_rows(docs), scratch=scratch, **options).groupBy("doc_id").agg(F.max("kept").alias("stays")).where("not stays").select("doc_id")
+        gone, _ = cut(found, "unknown-language")
+    return without(docs, gone)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

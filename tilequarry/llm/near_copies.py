@@ -20,10 +20,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilequarry.llm.common import arrow_map, cut, drop_table, null_to_empty, slices
+from tilequarry.llm.common import Scratch, arrow_map, cut, null_to_empty, slices
 from tilequarry.llm.components import components
 from tilequarry.llm.simhash import fingerprint, links
 
@@ -89,9 +89,10 @@ def crowded_cells(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at = np.nonzero(counts)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["cell", "n"])
 
-    summed, _ = cut(docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
-    total = summed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = summed.where(F.col("n") > CROWDED * total / CELLS + CROWDED_LEAST).orderBy("cell").collect()
+    with Scratch(docs.sparkSession) as scratch:
+        summed = scratch.cut(docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
+        total = summed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        rows = summed.where(F.col("n") > CROWDED * total / CELLS + CROWDED_LEAST).orderBy("cell").collect()
     return np.array([r["cell"] for r in rows], dtype=np.int64), np.array([r["n"] for r in rows], dtype=np.int64)
 
 
@@ -153,20 +154,19 @@ def _may(x: str, y: str) -> Column:
     return (x["c"] != y["c"]) & (5 * F.least(x["n"], y["n"]) >= 4 * F.greatest(x["n"], y["n"])) & (9 * differ <= x["n"] + y["n"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, outer: Scratch) -> DataFrame:
     """Of pairs (x, y, cx, cy) of sets the edges (a, b) between the groups of those with similarity 0.8 or more."""
-    pairs, _ = cut(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct()
-    sets, where = cut(_sets(docs).join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
-    bits = sets.select("sid", "many", F.size("found").alias("n"))
-    bounded = pairs.join(bits.toDF("x", "mx", "nx"), "x").join(bits.toDF("y", "my", "ny"), "y")
-    differ = F.aggregate(F.zip_with("mx", "my", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, b: n + b)
-    pairs, _ = cut(bounded.where(9 * differ <= F.col("nx") + F.col("ny")).select("x", "y", "cx", "cy"), "bounded")
-    both = pairs.join(sets.select(F.col("sid").alias("x"), F.col("found").alias("fx")), "x").join(sets.select(F.col("sid").alias("y"), F.col("found").alias("fy")), "y")
-    enough = 9 * F.size(F.array_intersect("fx", "fy")) >= 4 * (F.size("fx") + F.size("fy"))
-    edges, _ = cut(both.where(enough).select(F.col("cx").alias("a"), F.col("cy").alias("b")).distinct(), "similar")
-    drop_table(docs.sparkSession, where)
-    return edges
+    with Scratch(docs.sparkSession) as scratch:
+        pairs = scratch.cut(pairs.distinct(), "pairs")
+        wanted = scratch.cut(pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct(), "wanted")
+        sets = scratch.cut(_sets(docs).join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+        bits = sets.select("sid", "many", F.size("found").alias("n"))
+        bounded = pairs.join(bits.toDF("x", "mx", "nx"), "x").join(bits.toDF("y", "my", "ny"), "y")
+        differ = F.aggregate(F.zip_with("mx", "my", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, b: n + b)
+        bounded = scratch.cut(bounded.where(9 * differ <= F.col("nx") + F.col("ny")).select("x", "y", "cx", "cy"), "bounded")
+        both = bounded.join(sets.select(F.col("sid").alias("x"), F.col("found").alias("fx")), "x").join(sets.select(F.col("sid").alias("y"), F.col("found").alias("fy")), "y")
+        enough = 9 * F.size(F.array_intersect("fx", "fy")) >= 4 * (F.size("fx") + F.size("fy"))
+        return outer.cut(both.where(enough).select(F.col("cx").alias("a"), F.col("cy").alias("b")).distinct(), "similar")
 
 
 def _regroup(placed: DataFrame, group: DataFrame) -> DataFrame:
@@ -175,29 +175,36 @@ def _regroup(placed: DataFrame, group: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id and component_id, the smallest doc_id reachable by links."""
-    prints, _ = cut(_prints(docs), "prints")
-    sets = prints.groupBy("sid").agg(F.min("fp").alias("c"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    several = prints.groupBy("sid").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1).select("a", F.explode("all").alias("b"))
-    group = components(links(prints.select("fp").distinct()).unionByName(several))
-    groups, _ = cut(_regroup(sets, group), "groups")
-
-    keys = _keys(docs, *crowded_cells(docs)).repartition("key").distinct()
-    keys, _ = cut(keys.withColumn("sharing", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("sharing > 1").drop("sharing"), "keys")
-    placed = keys.join(groups, "sid").select("key", F.struct("sid", "c", "n", "bits").alias("one"))
-    # Mostly the same set stands for all keys of a cluster, so that a first round has a pair a member.
-    first = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("one.sid").alias("h"), "one"))["one"].alias("two"))
-    star = placed.join(first, "key").where(_may("one", "two")).select(*_pair("one", "two"))
-    starred = components(_verified(star, docs))
-    groups, _ = cut(_regroup(groups, starred), "groups")
-
-    placed = keys.join(groups, "sid").select("key", F.struct("sid", "c", "n", "bits").alias("one"))
-    mixed = placed.groupBy("key").agg(F.min("one.c").alias("lo"), F.max("one.c").alias("hi")).where("lo < hi").select("key")
-    left, _ = cut(placed.join(mixed, "key"), "open")
-    rest = left.join(left.withColumnRenamed("one", "two"), "key").where((F.col("one.sid") < F.col("two.sid")) & _may("one", "two"))
-    rested = components(_verified(rest.select(*_pair("one", "two")), docs))
-    groups = _regroup(groups, rested)
-
-    found = prints.join(groups.select("sid", "c"), "sid").select("doc_id", "c")
-    smallest = found.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return found.join(smallest, "c").select("doc_id", "component_id")
+    """A row per document: doc_id and component_id, the smallest doc_id reachable by links. The result is a written table."""
+    with Scratch(docs.sparkSession) as scratch:
+        prints = scratch.cut(_prints(docs), "prints")
+        sets = prints.groupBy("sid").agg(F.min("fp").alias("c"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+        several = prints.groupBy("sid").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1).select("a", F.explode("all").alias("b"))
+        group = components(links(prints.select("fp").distinct()).unionByName(several))
+        groups = scratch.cut(_regroup(sets, group), "groups")
+
+        keys = _keys(docs, *crowded_cells(docs)).distinct()
+        keys = scratch.cut(keys, "all-keys")
+        shared = scratch.cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
+        kept = scratch.cut(keys.join(shared, "key", "left_semi"), "keys")
+        scratch.drop(keys, shared)
+        placed = kept.join(groups, "sid").select("key", F.struct("sid", "c", "n", "bits").alias("one"))
+        # Mostly the same set stands for all keys of a cluster, so that a first round has a pair a member.
+        first = scratch.cut(placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("one.sid").alias("h"), "one"))["one"].alias("two")), "first")
+        star = placed.join(first, "key").where(_may("one", "two")).select(*_pair("one", "two"))
+        starred = components(_verified(star, docs, scratch))
+        scratch.drop(first)
+        groups = scratch.cut(_regroup(groups, starred), "groups")
+
+        placed = kept.join(groups, "sid").select("key", F.struct("sid", "c", "n", "bits").alias("one"))
+        mixed = scratch.cut(placed.groupBy("key").agg(F.min("one.c").alias("lo"), F.max("one.c").alias("hi")).where("lo < hi").select("key"), "mixed")
+        left = scratch.cut(placed.join(mixed, "key"), "open")
+        scratch.drop(kept, mixed)
+        rest = left.join(left.withColumnRenamed("one", "two"), "key").where((F.col("one.sid") < F.col("two.sid")) & _may("one", "two"))
+        rested = components(_verified(rest.select(*_pair("one", "two")), docs, scratch))
+        groups = _regroup(groups, rested)
+
+        found = scratch.cut(prints.join(groups.select("sid", "c"), "sid").select("doc_id", "c"), "found")
+        smallest = scratch.cut(found.groupBy("c").agg(F.min("doc_id").alias("component_id")), "smallest")
+        out, _ = cut(found.join(smallest, "c").select("doc_id", "component_id"), "near-copies")
+    return out

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequarry.llm.common import arrow_map, cut, documents, null_to_empty
+from tilequarry.llm.common import arrow_map, cut, documents, null_to_empty, without
 from tilequarry.llm.components import components
 
 BITS = 64
@@ -191,9 +191,13 @@ def keep_one(docs: DataFrame, *, distance: int = 3) -> DataFrame:
 
 
 def keep_smallest(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group in found (doc_id, component_id), as in keep_one."""
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay__")).distinct()
-    return docs.join(stay, docs.doc_id.eqNullSafe(stay["stay__"]), "left_semi")
+    """The rows of docs whose doc_id is the smallest of its group in found (doc_id, component_id), as in keep_one.
+
+    Only the ids that go are joined with docs.
+    """
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone, _ = cut(found.groupBy("doc_id").agg(F.max(stays).alias("stays")).where("not stays").select("doc_id"), "copies")
+    return without(docs, gone)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
