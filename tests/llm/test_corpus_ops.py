@@ -175,6 +175,55 @@ def test_mixing(rows):
     assert mixing.mix(awkward(rows)).count() == 8 and mixing.mix(rows([])).count() == 0
 
 
+def test_mixing_ranks_by_pareto_keys(rows):
+    """Against the definition: rates by bisection, keys in exact fractions, the prefix nearest to the target."""
+    import hashlib
+    from fractions import Fraction
+
+    rng = random.Random(5)
+    texts = [" ".join(["w"] * rng.choice([1, 3, 9, 40, 90])) for _ in range(500)]
+    sources = [rng.choice(["a", "a", "a", "b", "c"]) for _ in texts]
+    got = {r["doc_id"]: r for r in mixing.mix(rows(texts, sources=sources)).collect()}
+    unequal = 0
+    for s in "abc":
+        own = [i for i, x in enumerate(sources) if x == s]
+        size = {i: len(texts[i].split()) for i in own}
+        odds = {i: mixing.ODDS + size[i].bit_length() for i in own}
+        target, low, high = got[own[0]]["target"], 0.0, 1.0
+        for _ in range(200):
+            rate = (low + high) / 2
+            low, high = (rate, high) if sum(min(2, rate * odds[i]) * size[i] for i in own) < target else (low, rate)
+        copies = {i: min(2, high * odds[i]) for i in own}
+        if min(copies.values()) == 2:
+            assert all(got[i]["copies"] == 2 for i in own)
+            continue
+        whole = {i: int(copies[i]) for i in own}
+        unequal += len({round(copies[i] - whole[i], 6) for i in own}) > 1
+        keys = {}
+        for i in own:
+            u = (Fraction(int(hashlib.md5(f"mix-1|{i}".encode()).hexdigest()[:13], 16)) + Fraction(1, 2)) / 2**52
+            p = Fraction(copies[i] - whole[i])
+            keys[i] = (u / (1 - u)) / (p / (1 - p))
+        room, taken, best = target - sum(whole[i] * size[i] for i in own), 0, set()
+        for i in sorted(own, key=keys.get):
+            if taken + size[i] > room and taken + size[i] - room >= room - taken:
+                break
+            taken += size[i]
+            best.add(i)
+            if taken > room:
+                break
+        assert {i for i in own if got[i]["copies"] > whole[i]} == best
+        # Ranking by u alone, as if probabilities were equal, takes others.
+        assert sorted(own, key=keys.get)[: len(best)] != sorted(own, key=lambda i: hashlib.md5(f"mix-1|{i}".encode()).hexdigest()[:13])[: len(best)]
+    assert unequal
+
+
+def test_mixing_keeps_clashing_columns(rows):
+    docs = rows(["a b c"] * 30).selectExpr("*", "1 key__", "2 weight__", "3 copies", "4 size", "5 bound__", "6 target", "7 rank")
+    got = mixing.take(docs).collect()
+    assert got and all(tuple(r)[6:] == (1, 2, 3, 4, 5, 6, 7) for r in got)
+
+
 # SimHash
 
 
@@ -239,7 +288,8 @@ def test_simhash_groups(rows):
     assert simhash.near_duplicates(awkward(rows)).count() == 8 and simhash.near_duplicates(rows([])).count() == 0
 
 
-def test_pipeline_near_copies(spark, rows):
+@pytest.mark.parametrize("block", [4, 256])
+def test_pipeline_near_copies(spark, rows, block):
     """The stage against brute force: every pair of 5-word Jaccard 0.8 is linked, however far the fingerprints are."""
     import corpus_pipeline
 
@@ -272,7 +322,7 @@ def test_pipeline_near_copies(spark, rows):
             if close or alike:
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
-    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(rows(texts)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(rows(texts), block=block).collect()}
     assert far > 5 and got == {i: find(i) for i in range(len(texts))}
     kept = corpus_pipeline.near_dedup(spark, rows(texts), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values()))
