@@ -154,16 +154,15 @@ def test_quality(spark, rows):
     for i, t in enumerate(texts):
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute_quality(t), t[:40]
-        assert r["kept"] == (not r["base_failed"] and r["score"] >= quality.THRESHOLD)
+        assert r["kept"] is not None and (r["kept"] or r["base_failed"])  # no document is held out here
     assert got[3]["score"] > got[4]["score"]
     assert quality.score(awkward(rows), labels.where("false")).count() == 8 and quality.score(empty(rows), labels).count() == 0
 
 
-def test_quality_ratio_by_hand(spark, rows):
+def brute_scores(texts, langs, fit, folds=5):
+    """Scores by definition: fit are the rows whose text the target counts."""
     import xxhash
 
-    texts = ["good words are here", "bad noise is there", "good noise"]
-    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
     signed = lambda n: n - (1 << 64) if n >= 1 << 63 else n
 
     def hash_long(value, seed):
@@ -173,11 +172,46 @@ def test_quality_ratio_by_hand(spark, rows):
         h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in text.split()]
         return [signed(x) % quality.BUCKETS for x in h] + [signed(hash_long(b, hash_long(a, 42))) % quality.BUCKETS for a, b in zip(h, h[1:])]
 
-    raw, target = Counter(c for t in texts for c in cells(t)), Counter(cells(texts[0]))
-    share = lambda n, c: (n[c] + 1) / (sum(n.values()) + quality.BUCKETS)
-    got = {r["doc_id"]: r["score"] for r in quality.score(rows(texts), labels).collect()}
-    for i, t in enumerate(texts):
-        assert got[i] == pytest.approx(np.mean([np.log(share(target, c) / share(raw, c)) for c in cells(t)]))
+    group = [la[:2].lower() if la and re.match("[A-Za-z]{2}", la) else "" for la in langs]
+    raw, target = {}, {}
+    for i, (t, g) in enumerate(zip(texts, group, strict=True)):
+        raw.setdefault(g, Counter()).update(cells(t))
+        target.setdefault(g, Counter()).update(cells(t) if i in fit else [])
+    out = []
+    for t, g in zip(texts, group, strict=True):
+        r, k = raw[g], target[g]
+        whole, known = r.total(), k.total()
+        p = lambda c: (r[c] + quality.SMOOTHING) / (whole + quality.SMOOTHING * quality.BUCKETS)  # noqa: B023, E731
+        out.append(np.mean([np.log((k[c] + quality.PRIOR * p(c)) / (known + quality.PRIOR) / p(c)) for c in cells(t)]) if t.split() else 0.0)
+    return out
+
+
+def test_quality_ratio_by_hand(spark, rows):
+    """Scores and the threshold against the definition, with two languages, held-out rows and a hot one."""
+    rng = np.random.default_rng(2)
+    words = {"en": [f"e{k}" for k in range(60)], "de": [f"d{k}" for k in range(60)]}
+    texts, langs = [], []
+    for i in range(150):
+        lang = "en" if i % 3 else "de"
+        texts.append(" ".join(rng.choice(words[lang], 60) if i % 10 else [f"junk{rng.integers(10**6)}" for _ in range(60)]))
+        langs.append({"en": ["en", "EN-us"][i % 2], "de": "de"}[lang])
+    texts += ["", texts[0]]
+    langs += [None, "9"]
+    trusted = [i for i in range(150) if i % 10 and i % 4]
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted] + [(0, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = rows(texts, langs=langs)
+    held = {r[0] for r in docs.where(quality._held_out(docs.doc_id, quality.FOLDS)).select("doc_id").collect()}
+    want = brute_scores(texts, langs, set(trusted) - held)
+    got = {r["doc_id"]: r for r in quality.score(docs, labels).collect()}
+    for i, w in enumerate(want):
+        assert got[i]["score"] == pytest.approx(w, abs=1e-5)
+    steps = sorted(int(np.floor(got[i]["score"] * quality.STEPS)) for i in trusted if i in held and not got[i]["base_failed"])
+    at = lambda share: next(x for k, x in enumerate(steps, 1) if k >= share * len(steps))
+    cut = (at(0.5) - quality.SPREADS * (at(0.5) - at(0.16) + 1)) / quality.STEPS
+    assert len(steps) > 8 and all(got[i]["kept"] == (not got[i]["base_failed"] and got[i]["score"] >= cut) for i in got)
+    assert all(got[i]["kept"] for i in range(150) if i % 10) and not any(got[i]["kept"] for i in range(0, 150, 10))
+    without = {r["doc_id"]: r["kept"] for r in quality.score(docs.drop("lang"), labels).collect()}
+    assert len(without) == len(texts)
 
 
 # BPE
