@@ -125,6 +125,53 @@ def test_pii(spark, rows):
     assert pii.pseudonymise(awkward(rows)).count() == 8 and pii.pseudonymise(empty(rows)).count() == 0
 
 
+def test_pii_long_runs(rows):
+    """Megabytes of each entity's alphabet: no state grows with the text, and what stands behind them is found."""
+    n = 400_000
+    texts = ["a@" + "b." * n + "com", "a@" + "b." * n, "x." * n + "@", "a-" * n + "@b.com", "4111 " * n, "1" * n, "1.2." * n, "+1 23 " * n, "(12) " * n, "AB12" + " AB12" * n, "Mr " * n, "Mr A" + "b" * n, "Dr " + "A'" * n, "Señora Ä" + "ß" * n]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(rows([t + " and 10.2.3.4 here" for t in texts])).collect()}
+    assert len(got) == len(texts) and all("10.2.3.4" not in t and t.endswith(" here") for t in got.values())
+    assert got[0].split(" and ")[0].endswith(".example.com")
+
+
+def test_pii_replaces_all_and_only_entities(spark, rows):
+    """Against a plain version: the pattern by regex, kinds by hand, one replacement for each entity."""
+    import regex
+
+    texts = [PII, "IBAN DE89370400440532013000 or DE89 3704 0044 0532 0130 00; Dr. Sofia Weber; Dr. Marco Weber", "plain words, 12 of them.", "", None, "x@y.z a@b.co c@-d.org +49 30 1234567 (030) 555-1234"]
+    out = {r["doc_id"]: r for r in pii.pseudonymise(rows(texts)).collect()}
+    seen = {}
+    for i, text in enumerate(t or "" for t in texts):
+        found = [m[0] for m in regex.finditer(pii.ENTITY.replace(r"\p{Is", r"\p{"), text)]
+        assert out[i]["entities__"] == len(found)
+        gaps = regex.split(pii.ENTITY, text)
+        made = regex.fullmatch("(?s)" + "(.+?)".join(map(regex.escape, gaps)), out[i]["text"] or "")
+        for old, new, kind in zip(found, made.groups(), out[i]["kinds__"], strict=True):
+            assert old != new
+            norm = lambda x: x.lower() if kind in ("email", "ip", "name") else "".join(filter(str.isalnum, x)).upper()  # noqa: B023, E731
+            if kind != "name":
+                assert seen.setdefault((kind, norm(old)), norm(new)) == norm(new)
+            if kind == "iban":
+                moved = norm(new)[4:] + norm(new)[:4]
+                assert int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+    assert len(set(seen.values())) == len(seen)
+    women, men = re.findall(r"Dr\. (\w+)", out[1]["text"])
+    assert women in pii.GIVEN["latin", "f"].split() and men in pii.GIVEN["latin", "m"].split()
+
+
+def test_pii_keeps_clashing_columns(rows):
+    docs = rows([PII, "none"]).selectExpr("*", "1 no__", "2 tie__", "3 new__", "4 kinds__", "5 kinds_of__", "6 raw")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs).collect()}
+    assert all((r["no__"], r["tie__"], r["new__"], r["kinds_of__"], r["raw"]) == (1, 2, 3, 5, 6) for r in got.values())
+
+
+def test_pii_more_names_than_short_surrogates(spark):
+    """One-word Greek names have 10^4 surrogates of four syllables; ten times as many names get longer ones."""
+    names = spark.range(30_000).selectExpr("'name' kind", "concat('α', translate(cast(id as string), '0123456789', 'βγδεζηθικλ')) norm", "'n' gender")
+    got = pii.assign(names)
+    assert got.count() == 30_000 and got.select("surrogate").distinct().count() == 30_000
+
+
 def test_pii_collisions(spark):
     many = [("ssn", f"{i:09d}", "n") for i in range(3000)] + [("name", f"ann {chr(97 + i)}", "f") for i in range(26)]
     got = pii.assign(spark.createDataFrame(many, "kind string, norm string, gender string")).collect()
