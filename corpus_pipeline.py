@@ -1,9 +1,15 @@
 """The corpus pipeline: language ID, line dedup, SimHash near-dedup, mixing, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame; all but the last
-return the columns of `documents`. run() writes each stage's result as Parquet into the shared folder and reads it again.
-SQL can't express the stages that hash with XXH64 or encode, so there is none: tests/llm hold the pipeline against
-brute-force versions of its stages.
+return the columns of `documents`, and columns beyond these pass through, whatever their names. run() writes each stage's
+result as Parquet into the shared folder and reads it again; a stage's input is deleted when its result is written. SQL can't
+express the stages that hash with XXH64 or encode, so there is none: tests/llm holds the stages and run() against
+brute-force versions.
+
+Defined results: a null or empty text gives no language evidence of its own (declaration and source decide), has nothing to
+delete, is a copy of other empty ones and has no tokens, but mixing takes only documents with a word. Of rows with one doc_id
+near-dedup keeps those of the smallest id of a group; rows without doc_id stay only in groups that have none with one. Rows
+that are equal in text get equal decisions. An empty table gives an empty one with the same columns.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tilequarry.llm import bpe, language, line_dedup, mixing, near_copies, simhash
-from tilequarry.llm.common import cut, documents
+from tilequarry.llm.common import cut, documents, drop_table
 
 ORACLE_SQL = None
 
@@ -47,7 +53,10 @@ STAGES = [("language ID", language_id), ("line dedup", dedup_lines), ("SimHash n
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the whole of `documents`."""
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs, _ = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, where = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            drop_table(spark, before)
+        before = where
     return docs
