@@ -97,6 +97,48 @@ def test_toxicity(spark, rows):
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def naive_score(model, text):
+    """The model by its definition: embed each word, convolve, pool, weigh, shift by the language's cut."""
+    import zlib
+
+    words = re.findall(r"[^\W_]+", text.lower())
+    rows = [[sum(float(model.tables[t * toxicity.TABLE + zlib.crc32((w[:k] if k else w).encode(), t) % toxicity.TABLE][d]) for t, k in enumerate((0, 3, 4, 5, 6, 7))) for d in range(8)] for w in words]
+    logit, at = float(model.base), 0
+    for width in (1, 2, 3):
+        padded = rows + [[0.0] * 8] * max(0, width - len(rows))
+        for f in range(8):
+            values = [sum(float(model.filters[width][k][d][f]) * padded[i + k][d] for k in range(width) for d in range(8)) + float(model.bias[width][f]) for i in range(len(padded) - width + 1)]
+            logit += max(0.0, *values) * float(model.out[at]) if len(values) else 0.0
+            at += 1
+    found = {lang: sum(w in own.split() for w in text.lower().split()) for lang, own in toxicity.FUNCTION_WORDS.items()}
+    best = max(found, key=found.get) if any(found.values()) else "other"
+    return 1 / (1 + np.exp(-(logit - model.cuts.get(best, model.cuts.get("", 0.0)))))
+
+
+def test_toxicity_against_naive_convolution(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = toxicity.Convolution()
+    model.tables = rng.normal(0, 0.5, model.tables.shape).astype(np.float32)
+    model.out = rng.normal(0, 0.3, model.out.shape).astype(np.float32)
+    model.bias = {w: rng.normal(0, 0.3, 8).astype(np.float32) for w in (1, 2, 3)}
+    model.cuts = {"": 0.3, "de": -0.4}
+    texts = ["", "one", "Two words", "der die das und nicht", " ".join(f"w{k}" for k in rng.integers(0, 40, 90)), "the UPPER_case, and-signs of it"]
+    for piece in (toxicity.PIECE, 7):  # texts in pieces give the same
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        scorer = toxicity.Scorer(model)
+        for t in texts:
+            assert scorer.score(t) == pytest.approx(naive_score(model, t), abs=1e-5)
+
+
+def test_toxicity_contradicting_labels_and_repeated_ids(spark, rows):
+    docs = rows([f"text {i % 2} here" for i in range(60)], ids=[i // 2 for i in range(60)])
+    labels = spark.createDataFrame([(i, 1, m) for i in range(30) for m in ((0, 1) if i % 3 == 0 else (0, None))], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels, positives=4, negatives=6)
+    again = toxicity.fit(docs.repartition(5), labels.repartition(3), positives=4, negatives=6)
+    assert np.array_equal(model.tables, again.tables) and model.cuts == again.cuts
+    assert toxicity.score(docs, model).count() == 60
+
+
 # PII
 
 PII = "Mail Bob.Smith+x@corp.example.org or BOB.SMITH+X@CORP.EXAMPLE.ORG, call +1 (916) 555-6549. Mr. John Smith met Dr John Smith; ip 10.2.3.4, card 4605175688511253 or 4605 1756 8851 1253, SSN 123-45-6789, г-жа Анна Иванова."
@@ -314,6 +356,55 @@ def test_language(spark, rows):
     assert language.identify(language.document_rows(awkward(rows))).count() == 8 and language.identify(language.document_rows(empty(rows))).count() == 0
 
 
+def brute_posteriors(rows):
+    """(text_lang, lang_id, posterior, kept) of rows (text, declared, suffix, host, domain) by the rules alone."""
+    names = [*language.LANGUAGES, "other"]
+    counts = {la: np.full(language.CELLS, 0.5) for la in language.LANGUAGES}
+    for text, declared, *_ in rows:
+        if declared in counts:
+            for c in language.cells_of(text or ""):
+                counts[declared][c] += 1
+    models = {la: np.log(n / n.sum() * language.CELLS) for la, n in counts.items()}
+    logs = []
+    for text, *_ in rows:
+        cells = language.cells_of(text or "")
+        logs.append([min(len(cells), language.EVIDENCE) * (float(np.mean(models[la][cells])) if la in models else language.OTHER_GAIN) if len(cells) else 0.0 for la in names])
+    best = [names[int(np.argmax(x))] for x in logs]
+    tally = lambda own: np.array([sum(b == n for b in own) for n in names], dtype=float)
+    corpus = (tally(best) + 1) / (tally(best) + 1).sum()
+    smooth = lambda n, p: (n + language.STRENGTH * p) / (n.sum() + language.STRENGTH)
+    out = []
+    for (_, declared, suffix, host, domain), own, text_lang in zip(rows, logs, best, strict=True):
+        prior = smooth(tally([b for b, r in zip(best, rows, strict=True) if domain is not None and r[4] == domain]), corpus)
+        prior = smooth(tally([b for b, r in zip(best, rows, strict=True) if host is not None and r[3] == host]), prior)
+        total = np.array(own) + np.log(prior)
+        for k, value in ((1, declared), (2, suffix)):
+            if value in language.LANGUAGES:
+                here, every = tally([b for b, r in zip(best, rows, strict=True) if r[k] == value]), tally([b for b, r in zip(best, rows, strict=True) if r[k] in language.LANGUAGES])
+                total += np.log((1 - language.NOISE) * (here + 0.5) / (every + 0.5 * 4) + language.NOISE / 4)
+        p = np.exp(total - total.max())
+        p /= p.sum()
+        lang = names[int(np.argmax(p))]
+        out.append((text_lang, lang, p.max(), lang != "other" and p.max() >= language.CONFIDENCE))
+    return out
+
+
+def test_language_posteriors_by_hand(spark):
+    rng = np.random.default_rng(8)
+    words = {"en": "the of and house with that water this", "de": "der die und nicht haus wasser mit schön", "fr": "le les des maison avec être eau pour", "es": "el los que agua casa con según para"}
+    rows = []
+    for i in range(90):
+        lang = list(words)[int(rng.integers(0, 4))]
+        text = " ".join(rng.choice(words[lang].split(), int(rng.integers(1, 9)))) if i % 9 else ["", None, "xqz 77 jjk zzv", "#"][i // 9 % 4]
+        host = [None, f"h{rng.integers(0, 4)}.{lang}.example"][i % 4 > 0]
+        rows.append((text, rng.choice([lang, lang, "de", "xx", ""]).item() or None, rng.choice([lang, "com", ""]).item() or None, host, host and host.split(".", 1)[1]))
+    rows += rows[:3]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row long, text string, declared string, suffix string, host string, domain string")
+    got = {r["row"]: r for r in language.identify(frame).collect()}
+    for i, (text_lang, lang, posterior, kept) in enumerate(brute_posteriors(rows)):
+        assert (got[i]["text_lang"], got[i]["lang_id"], got[i]["kept"]) == (text_lang, lang, kept) and got[i]["posterior"] == pytest.approx(posterior, abs=1e-4)
+
+
 def test_page_evidence(spark):
     pages = spark.createDataFrame([(1, "https://www.a.example.de/x", '<html lang="fr-CA"><script>var x="<p>"</script><p>Bonjour &amp; merci</p>'), (2, "http://b.example.org/es/1", None), (3, None, "<p>x")], "page_id long, url string, html string")
     got = {r["page_id"]: r for r in language.page_rows(pages).collect()}

@@ -252,6 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, positives: in
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = marked.where("toxic = 1").orderBy(*order).limit(positives).unionByName(marked.where("toxic = 0").orderBy(*order).limit(negatives))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen.withColumnRenamed("doc_id", "id__")), F.col("doc_id") == F.col("id__")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    # One text an id, so that the bound on ids is one on rows.
+    sample = sample.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("toxic").alias("toxic"))
     rows = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in sample.toLocalIterator()), key=lambda r: (zlib.crc32(str(r[0]).encode()[::-1]), r[0], r[1]))
     model, seen = Convolution(), {}
     y = np.array([r[2] for r in rows], dtype=np.int64)
