@@ -84,6 +84,18 @@ def test_line_dedup_awkward(rows):
     assert again[0] == "start\n" + long and again[1] == "other" and again[2] == "own " * 60
 
 
+def test_joins_with_texts_beyond_the_broadcast_bound(rows, monkeypatch):
+    """Small tables of deletions and ids are broadcast, larger ones shuffled; results are the same."""
+    from tilequarry.llm import common
+
+    texts = ["\n".join(f"line {k} of some words that stand in many texts" for k in range(8)) + f"\nend {i // 2}" for i in range(12)] + [None, ""]
+    docs = rows(texts)
+    small = sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup(docs).collect()), sorted(r["doc_id"] for r in simhash.keep_one(docs).collect())
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert "Broadcast" not in common.bounded(docs, 1)._jdf.queryExecution().toString()
+    assert small == (sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup(docs).collect()), sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()))
+
+
 # embeddings
 
 
@@ -377,3 +389,76 @@ def test_pipeline(spark, tmp_path):
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert final.count() == steps["mixing"].count() and final.where("not round_trip").count() == 0
     assert sorted(r["text"] or "" for r in bpe.decode(final).collect()) == sorted(r["text"] or "" for r in steps["mixing"].collect())
+
+
+def brute_near(texts, ids):
+    """Indices that stay: of each group linked by SimHash (3 bits) or 5-word Jaccard 0.8 the smallest id."""
+    cut5 = lambda t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set()
+    sets, fps, head = [cut5(t or "") for t in texts], [simhash.fingerprint(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3 or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = head[i], head[j]
+                head = [new if h == old else h for h in head]
+    least = {h: min(ids[k] for k in range(len(ids)) if head[k] == h) for h in head}
+    return [i for i in range(len(texts)) if ids[i] == least[head[i]]]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import duckdb
+    import pandas as pd
+    import public_tokenizers
+    import tiktoken
+
+    import corpus_pipeline
+    from tests.llm.test_text_ops import brute_posteriors
+    from tilequarry.llm import bpe
+
+    words = {"en": "the of and house with that water this over under where when", "de": "der die und nicht haus wasser mit schön über auf wo wenn"}
+    rng = random.Random(6)
+    passage = "\n".join(" ".join(rng.choice(words["en"].split()) for _ in range(18)) for _ in range(4))
+    docs = []
+    for i in range(60):
+        lang = ["en", "en", "de"][i % 3]
+        text = " ".join(rng.choice(words[lang].split()) + str(rng.randrange(9)) * (rng.random() < 0.3) for _ in range(rng.randrange(15, 90)))
+        text += "\n" + passage if i % 7 == 0 else ""
+        docs.append((i, text, lang, "abc"[i % 3], len(text)))
+    docs += [(60 + k, docs[k][1].replace(" the ", " that ", 1), "en", "a", 1) for k in (1, 4, 8)]
+    docs += [(70, None, "en", None, None), (71, "", "de", "b", 0), (72, "0x91 ## 8812 9", None, "z", 9), (73, docs[2][1], "de", "c", 1)]
+    docs = [d + (k,) for k, d in enumerate(docs)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, lines__ int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    kept = [d for d, r in zip(docs, brute_posteriors([(d[1], d[2] and d[2].lower()[:2], None, d[3], None) for d in docs]), strict=True) if r[3]]
+    assert 0 < len(docs) - len(kept) < 5
+    gone = brute_lines([d[1] or "" for d in kept], 50)
+    cleaned = [(d[0], None if d[1] is None else "\n".join(x for k, x in enumerate(d[1].split("\n")) if k not in own), *d[2:]) for d, own in zip(kept, gone, strict=True)]
+    assert any(gone)
+    unique = [cleaned[i] for i in brute_near([d[1] for d in cleaned], [d[0] for d in cleaned])]
+    assert len(unique) < len(cleaned)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": [d[0] for d in unique], "text": pd.Series([d[1] for d in unique], dtype=object), "source": pd.Series([d[3] for d in unique], dtype=object)}))
+    copies = {i: taken // max(size, 1) for i, size, _, _, taken in con.execute(mixing.OP8_SQL).fetchall()}
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path(bpe.RANKS)), special_tokens={})
+    want = sorted((d[0], coder.encode_ordinary(d[1] or "")) for d in unique for _ in range(copies[d[0]]))
+    assert sorted((r["doc_id"], r["token_ids"]) for r in got) == want and all(r["round_trip"] for r in got)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, extra int")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.count() == 0 and (name == "byte-level BPE" or out.columns == empty.columns)
+
+
+def test_pipeline_of_nulls_and_repeats(spark, rows):
+    """Null ids, null and repeated rows go through each stage, with clashing columns."""
+    import corpus_pipeline
+
+    docs = awkward(rows).union(awkward(rows)).selectExpr("*", "1 gone__", "2 key__", "3 no__", "4 stay__")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        docs = docs if name == "byte-level BPE" else spark.createDataFrame(out.collect(), docs.schema)
+    assert out.count() == docs.count() > 0 and out.where("not round_trip").count() == 0

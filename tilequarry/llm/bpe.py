@@ -75,11 +75,13 @@ class ByteBpe:
     A text is cut before each space that stands alone between two other characters (no match of the pattern goes over
     such a cut), a part is split by the pattern, and each match is encoded by itself. Parts and matches recur (most are
     words), so that the ids of those seen lately are kept: once CACHE are kept, those not used since the last CACHE
-    were go. The library gets the new matches of a batch together. A text with a space at an end or beside other white
+    were go, and those of over LONG characters go at once: memory is bounded. The library gets the new matches of a batch together. A text with a space at an end or beside other white
     space, or with white space but spaces and line feeds, is split by the pattern as a whole.
     """
 
-    CACHE = 800_000
+    CACHE = 400_000
+    #: Characters of what is kept, at most; longer matches are encoded each time.
+    LONG = 64
 
     def __init__(self, definition: str, pattern: str):
         import os
@@ -134,7 +136,12 @@ class ByteBpe:
             matches[x] = np.array(e.ids, dtype="<u4").tobytes()
         of = matches.__getitem__
         words.update((w, b"".join(map(of, tail))) for w, tail in zip(new, tails, strict=True))
-        return [b"".join([*map(of, head), *map(words.__getitem__, p)]) for head, (_, p) in zip(heads, parts, strict=True)]
+        out = [b"".join([*map(of, head), *map(words.__getitem__, p)]) for head, (_, p) in zip(heads, parts, strict=True)]
+        for kept, found in ((words, new), (matches, fresh)):
+            for x in found:
+                if len(x) > self.LONG:
+                    del kept[x]
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(x, dtype="<u4") for x in self.encode_bytes(texts)]

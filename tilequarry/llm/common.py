@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -15,6 +17,10 @@ from pyspark.sql import functions as F
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Rows of an Arrow batch that are turned into Python strings at a time.
 SLICE = 256
+#: A written table of so many bytes or less, as counted, is broadcast; larger ones are joined by shuffles.
+BROADCAST_BYTES = 32 << 20
+#: Rows of an Arrow batch between Spark and Python while an intermediate table is written.
+ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +44,27 @@ def drop_table(spark: SparkSession, where: str) -> None:
     fs.delete(path, True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Meanwhile tasks get Arrow batches of ROWS rows at most: what stands outside the heap stays small."""
+    name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", None
+    with contextlib.suppress(Exception):
+        before = spark.conf.get(name)
+    try:
+        if before is None or not 0 < int(before) <= ROWS:
+            spark.conf.set(name, str(ROWS))
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def give_back() -> None:
+    """Free memory of this worker goes back to the system, as workers stay."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)  # glibc only
+
+
 def cut(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
     """Write df as Parquet into the shared folder and read it again: lineage ends, lost executors don't matter.
 
@@ -45,7 +72,8 @@ def cut(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(where)
+    with small_batches(spark):
+        df.write.parquet(where)
     atexit.register(_quietly_drop, spark, where)
     return spark.read.schema(df.schema).parquet(where), where
 
@@ -102,6 +130,8 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
                 columns = f(part)
                 if columns is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(columns[c.name], type=c.type) if not isinstance(columns[c.name], (pa.Array, pa.ChunkedArray)) else columns[c.name] for c in target], schema=target)
+        del f
+        give_back()
 
     return df.mapInArrow(run, types)
 
@@ -122,13 +152,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not in gone, a written table of one column doc_id without repeats; null equals null.
+def bounded(table: DataFrame, row_bytes: int, numbers: str | None = None) -> DataFrame:
+    """A written table, to be broadcast if it is small: row_bytes for each row and 8 for each element of the column numbers.
 
-    Written, so that its size is known when the join is planned: a short list leaves the texts where they are.
+    Its size is counted, not guessed. Texts that meet a small table stay where they are; any larger table is shuffled.
     """
+    more = F.coalesce(F.sum(F.size(numbers)), F.lit(0)) if numbers else F.lit(0)
+    rows, elements = table.agg(F.count(F.lit(1)), more).first()
+    return F.broadcast(table) if rows * row_bytes + 8 * elements <= BROADCAST_BYTES else table
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in gone, a written table of one column doc_id without repeats; null equals null."""
     (name,) = fresh(docs, "gone__")
-    gone = gone.select(F.col("doc_id").alias(name))
+    gone = bounded(gone, 16).select(F.col("doc_id").alias(name))
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone[name]), "left_anti")
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequarry.llm.common import Scratch, arrow_map, cut, documents, without
+from tilequarry.llm.common import Scratch, arrow_map, cut, documents, slices, small_batches, without
 
 LANGUAGES = ("en", "de", "fr", "es")
 CELLS = 1 << 14
@@ -61,9 +61,10 @@ def counts_by_declared(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame
     def run(batches):
         total = {lang: np.zeros(CELLS, dtype=np.int64) for lang in languages}
         for batch in batches:
-            for lang, text in zip(batch.column("declared").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if text:
-                    total[lang] += np.bincount(cells_of(text), minlength=CELLS)
+            for part in slices(batch):
+                for lang, text in zip(part.column("declared").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    if text:
+                        total[lang] += np.bincount(cells_of(text), minlength=CELLS)
         for lang, n in total.items():
             cells = np.nonzero(n)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells), pa.string()), pa.array(cells.astype(np.int32)), pa.array(n[cells])], names=["declared", "cell", "n"])
@@ -74,7 +75,8 @@ def counts_by_declared(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame
 
 def text_model(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
     """log(P(cell | language) / uniform), a row a language: CELLS x languages numbers, whatever the corpus."""
-    found = counts_by_declared(rows, languages).collect()  # at most CELLS rows a language
+    with small_batches(rows.sparkSession):
+        found = counts_by_declared(rows, languages).collect()  # at most CELLS rows a language
     counts = np.full((len(languages), CELLS), 0.5)
     for r in found:
         counts[languages.index(r["declared"]), r["cell"]] += r["n"]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequarry.llm.common import Scratch, arrow_map, cut, documents, fresh
+from tilequarry.llm.common import Scratch, arrow_map, bounded, cut, documents, fresh
 
 #: A repeated run of this many words is deleted; shorter ones stay.
 MIN_WORDS = 50
@@ -161,7 +161,7 @@ def dedup(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """
     docs = docs.drop("removed__")
     no, tie, starts, ends = fresh(docs, "no__", "tie__", "starts__", "ends__")
-    gone = repeats(docs, min_words=min_words).toDF(no, tie, starts, ends)
+    gone = bounded(repeats(docs, min_words=min_words), 64, "starts").toDF(no, tie, starts, ends)
     same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)) == gone[no]) & (F.xxhash64(docs["text"]) == gone[tie])
     lines = F.split(F.col("text"), "\n", -1)
     # What stands before each range and behind the last one. Blank lines between deleted ones go with them.

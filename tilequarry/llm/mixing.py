@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilequarry.llm.common import Scratch, cut, documents, fresh
+from tilequarry.llm.common import Scratch, bounded, cut, documents, fresh
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -159,7 +159,7 @@ def take(docs: DataFrame, *, seed: str = SEED, **options) -> DataFrame:
     with Scratch(docs.sparkSession) as scratch:
         plan, _ = cut(_ranked(docs, scratch, seed=seed, **options)[1].select("key", "weight", "whole", "p", "bound"), "mix-bounds")
     key, weight, whole, p, bound, copy, size = fresh(docs, "key__", "weight__", "whole__", "p__", "bound__", "copy__", "size__")
-    plan = plan.toDF(key, weight, whole, p, bound)
+    plan = bounded(plan, 128).toDF(key, weight, whole, p, bound)
     sized = docs.withColumn(size, word_count(F.col("text")))
     joined = sized.join(plan, (source_key(sized["source"]) == plan[key]) & (odds_weight(sized[size]) == plan[weight]))
     rank = pareto_key(random_number(F.col("doc_id"), F.col("text"), seed), F.col(p))

@@ -1,40 +1,42 @@
-"""Near-copies by the Jaccard similarity of word shingles, found in full by prefix filtering, joined with SimHash links.
+"""Near-copies by the Jaccard similarity of word shingles, joined with SimHash links.
 
 Two texts are linked if their fingerprints differ in at most three bits (simhash.links) or if their sets of WORDS-word
-shingles have Jaccard similarity 0.8 or more. Under any order of all shingles, two sets x and y with similarity t share
-one of the first n - ceil(t n) + 1 shingles of each (n: its own size), so that a join on these prefixes misses no pair. The order
-puts shingles of crowded cells last: counts of CELLS cells by hash stand for the shingles' own, so common passages are
-seldom in a prefix. Every candidate pair of sizes that allow the similarity is verified on the whole sets.
+shingles have Jaccard similarity 0.8 or more. Fingerprints of such texts mostly differ in more bits than Golay keys of a
+useful length can bridge, so candidates of the second kind share one of BANDS keys, each of the smallest values of ROWS hash
+functions over the set: texts of similarity 0.8 share a key with probability 0.9996, more similar ones with more. Candidates
+are verified on the whole sets; nothing is linked that isn't similar.
 
-Work is on distinct sets, so that copies cost nothing, and only between groups not linked yet: first by SimHash, then by
-comparing the sets of a shingle with one of them, and last by every pair of different groups that is left. Pairs whose
-parity bits alone show too many different shingles go before the sets are compared; the bound is exact.
+Work is on distinct sets, so that copies cost nothing, and only between groups not linked yet. A key's sets are cut into
+blocks of bounded size that meet tile by tile; two sets of a tile are candidates if their groups differ, and sizes and one
+bit of each of the BANDS * ROWS minima allow the similarity (BIT_SLACK standard deviations of slack). First each set of a tile
+is verified with its nearest candidate alone, by a join. After these links are drawn, the sets that still have candidates
+are brought to their tiles, which verify every pair and give a spanning forest. No step emits all pairs of a key.
 
 Defined results: words and null texts as in simhash; a text of fewer than WORDS words is one shingle; without words the set
-is empty and equals other empty ones.
+is empty and equals other empty ones; null and repeated doc_ids keep a row each; an empty table gives an empty one; columns
+other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilequarry.llm.common import Scratch, arrow_map, cut, null_to_empty, slices
+from tilequarry.llm.common import Scratch, arrow_map, bounded, cut, null_to_empty
 from tilequarry.llm.components import components
 from tilequarry.llm.simhash import fingerprint, links
 
 WORDS = 5
-#: Cells by which the order of shingles knows common ones.
-CELL_BITS = 19
-CELLS = 1 << CELL_BITS
-#: A cell is crowded above this many times the mean of all cells, and this many more: at most a quarter of them.
-CROWDED, CROWDED_LEAST = 4, 32
-#: Words of 64 parities a set has.
-PARITIES, MANY_PARITIES = 4, 64
+BANDS, ROWS = 26, 6
+#: Sets of a key that a block holds; a tile compares two blocks.
+BLOCK = 256
+#: Differing bits that candidates may have: the mean at similarity 0.8 (a tenth) and five standard deviations.
+BIT_SLACK = 5
+MOST_BITS = int(BANDS * ROWS * 0.1 + BIT_SLACK * (BANDS * ROWS * 0.09) ** 0.5)
+#: Shingles that meet all hash functions at a time.
+PIECE = 1024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -43,6 +45,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_FACTORS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+_SHIFTS = _mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64))
+
+
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted 64-bit hashes of the text's different shingles."""
     import xxhash
@@ -64,109 +70,160 @@ def set_id(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 7)).astype(np.int64))
 
 
-def prefix(found: np.ndarray, crowded: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of which two sets of similarity 0.8 share one; crowded: sorted cells, with counts."""
-    n = len(found)
-    keep = n - -(-4 * n // 5) + 1 if n else 0
-    if not len(crowded):
-        return found[:keep]
-    cells = (found >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-    at = np.minimum(np.searchsorted(crowded, cells), len(crowded) - 1)
-    rank = np.where(crowded[at] == cells, counts[at], 0)
-    return found[np.argsort(rank, kind="stable")[:keep]]
+def minima(found: np.ndarray) -> np.ndarray:
+    """The smallest value of each hash function over the set."""
+    out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(found), PIECE):
+        np.minimum(out, (found[at : at + PIECE, None] * _FACTORS + _SHIFTS).min(axis=0), out=out)
+    return out
 
 
-def crowded_cells(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Cells that hold many more shingles than the mean, by number, and their counts. A text counts a shingle once."""
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A signed long for each band."""
+    mixed = (_mix(least).reshape(BANDS, ROWS) * _FACTORS[:ROWS]).sum(axis=1, dtype=np.uint64)
+    return _mix(mixed + _SHIFTS[:BANDS]).view(np.int64)
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, dtype=np.int64)
-        for batch in batches:
-            for part in slices(batch):
-                found = [shingles(t) for t in null_to_empty(part.column("text"))]
-                cells, n = np.unique(np.concatenate(found) >> np.uint64(64 - CELL_BITS), return_counts=True)
-                counts[cells.astype(np.int64)] += n
-        at = np.nonzero(counts)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["cell", "n"])
 
-    with Scratch(docs.sparkSession) as scratch:
-        summed = scratch.cut(docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
-        total = summed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        rows = summed.where(F.col("n") > CROWDED * total / CELLS + CROWDED_LEAST).orderBy("cell").collect()
-    return np.array([r["cell"] for r in rows], dtype=np.int64), np.array([r["n"] for r in rows], dtype=np.int64)
+def sketch(least: np.ndarray) -> np.ndarray:
+    """One bit of each minimum, in signed longs. Of two sets of similarity s they differ in (1 - s) / 2 of the bits."""
+    bits = np.zeros(-(-len(least) // 64) * 64, dtype=np.uint8)
+    bits[: len(least)] = (least >> np.uint64(20)).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64)
 
 
-def parities(found: np.ndarray, words: int = PARITIES) -> np.ndarray:
-    """`words` words of bits, each the parity of its shingles: two sets differ in at least as many shingles as bits."""
-    counts = np.bincount((found & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets (sorted) have Jaccard similarity 0.8 or more, in whole numbers."""
+    return 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
 
 
 def _prints(docs: DataFrame) -> DataFrame:
+    """doc_id, tie (of the text), fp, sid, n, keys and bits of each row. A set without shingles has no keys."""
+
     def make():
         def f(batch: pa.RecordBatch) -> dict:
             texts = null_to_empty(batch.column("text"))
             found = [shingles(t) for t in texts]
+            least = [minima(s) for s in found]
             fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-            return {"doc_id": batch.column("doc_id"), "fp": fps, "sid": [set_id(s) for s in found], "n": [len(s) for s in found], "bits": pa.array([parities(s) for s in found], type=pa.list_(pa.int64()))}
+            keys = [band_keys(m) if len(s) else [] for m, s in zip(least, found, strict=True)]
+            longs = pa.list_(pa.int64())
+            return {"doc_id": batch.column("doc_id"), "tie": batch.column("tie"), "fp": fps, "sid": [set_id(s) for s in found], "n": [len(s) for s in found], "keys": pa.array(keys, longs), "bits": pa.array([sketch(m) for m in least], longs)}
 
         return f
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, fp long, sid long, n int, bits array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    return arrow_map(rows, make, "doc_id long, tie long, fp long, sid long, n int, keys array<long>, bits array<long>")
 
 
-def _keys(docs: DataFrame, crowded: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """A row per set and shingle of its prefix: key and sid."""
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sid and found, the shingles, of the texts whose tie is in wanted, a written table."""
 
     def make():
         def f(batch: pa.RecordBatch) -> dict:
             found = [shingles(t) for t in null_to_empty(batch.column("text"))]
-            first = [prefix(s, crowded, counts) for s in found]
-            return {"key": np.concatenate(first).view(np.int64), "sid": np.repeat(np.array([set_id(s) for s in found], dtype=np.int64), [len(p) for p in first])}
+            return {"sid": [set_id(s) for s in found], "found": pa.array([s.view(np.int64) for s in found], type=pa.list_(pa.int64()))}
 
         return f
 
-    return arrow_map(docs.select("text"), make, "key long, sid long")
+    ties = bounded(wanted, 16).select(F.col("tie").alias("wanted__"))
+    texts = docs.select("text").join(ties, F.xxhash64("text") == ties["wanted__"], "left_semi")
+    return arrow_map(texts, make, "sid long, found array<long>").dropDuplicates(["sid"])
+
 
+def _tiles(groups: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+    """key, i, j and ones (list of sid, c, n, bits): the tiles of keys that stand in different groups."""
+    placed = groups.select("sid", "c", "n", "bits", F.explode("keys").alias("key"))
+    several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi")
+    open_ = scratch.cut(several.select("key", F.ceil(F.col("rows") / block).cast("int").alias("blocks")), "open")
+    own = F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")).cast("int")
+    return (
+        placed.join(open_, "key")
+        .select("key", F.struct("sid", "c", "n", "bits").alias("one"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .agg(F.collect_list("one").alias("ones"))
+        .where(F.size("ones") > 1)
+    )
+
+
+def _may(c: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of a tile are candidates, and their differing bits."""
+    differ = np.bitwise_count(bits[:, None] ^ bits).sum(axis=2, dtype=np.int64)
+    small, large = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
+    return (c[:, None] != c) & (5 * small >= 4 * large) & (differ <= MOST_BITS), differ
+
+
+def _unpacked(lists: pa.ListArray):
+    """(sid, c, n, bits) of each tile of a batch."""
+    flat, ends = lists.flatten(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+    sid, c, n = (flat.field(k).to_numpy() for k in ("sid", "c", "n"))
+    bits = flat.field("bits").flatten().to_numpy().reshape(len(sid), -1).view(np.uint64)
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield sid[a:b], c[a:b], n[a:b], bits[a:b]
+
+
+def _nearest(tiles: DataFrame) -> DataFrame:
+    """x, y, cx, cy: of each set of a tile the nearest candidate."""
 
-def _sets(docs: DataFrame) -> DataFrame:
     def make():
-        def f(batch: pa.RecordBatch) -> dict:
-            found = [shingles(t) for t in null_to_empty(batch.column("text"))]
-            return {"sid": [set_id(s) for s in found], "many": pa.array([parities(s, MANY_PARITIES) for s in found], type=pa.list_(pa.int64())), "found": pa.array([s.view(np.int64) for s in found], type=pa.list_(pa.int64()))}
+        def f(batch: pa.RecordBatch) -> dict | None:
+            out = set()
+            for sid, c, n, bits in _unpacked(batch.column("ones")):
+                may, differ = _may(c, n, bits)
+                near = np.where(may, differ, 1 << 20).argmin(axis=1)
+                for i in np.nonzero(may.any(axis=1))[0].tolist():
+                    out.add(min((sid[i], sid[near[i]], c[i], c[near[i]]), (sid[near[i]], sid[i], c[near[i]], c[i])))
+            return dict(zip(("x", "y", "cx", "cy"), map(list, zip(*sorted(out), strict=True)), strict=True)) if out else None
 
         return f
 
-    return arrow_map(docs.select("text"), make, "sid long, many array<long>, found array<long>")
+    return arrow_map(tiles.select("ones"), make, "x long, y long, cx long, cy long")
 
 
-def _pair(x: str, y: str) -> list[Column]:
-    """Columns of a pair in order of sid, so that it stands once whatever its keys."""
-    x, y = F.col(x), F.col(y)
-    swap = x["sid"] > y["sid"]
-    return [F.when(swap, b[k]).otherwise(a[k]).alias(n) for a, b, one in ((x, y, "x"), (y, x, "y")) for k, n in (("sid", one), ("c", "c" + one))]
+def _members(tiles: DataFrame) -> DataFrame:
+    """key, i, j, sid, c: the sets of a tile that have a candidate."""
 
+    def make():
+        def f(batch: pa.RecordBatch) -> dict | None:
+            out: dict[str, list] = {k: [] for k in ("row", "sid", "c")}
+            for row, (sid, c, n, bits) in enumerate(_unpacked(batch.column("ones"))):
+                own = _may(c, n, bits)[0].any(axis=1)
+                out["row"].append(np.full(own.sum(), row))
+                out["sid"].append(sid[own])
+                out["c"].append(c[own])
+            row, sid, c = (np.concatenate(x) for x in out.values())
+            return {k: batch.column(k).to_numpy()[row] for k in ("key", "i", "j")} | {"sid": sid, "c": c} if len(row) else None
 
-def _may(x: str, y: str) -> Column:
-    """Different groups, and sizes and parities that similarity 0.8 allows: at most a ninth of both sizes differs."""
-    x, y = F.col(x), F.col(y)
-    differ = sum((F.bit_count(x["bits"][i].bitwiseXOR(y["bits"][i])) for i in range(PARITIES)), F.lit(0))
-    return (x["c"] != y["c"]) & (5 * F.least(x["n"], y["n"]) >= 4 * F.greatest(x["n"], y["n"])) & (9 * differ <= x["n"] + y["n"])
+        return f
 
+    return arrow_map(tiles, make, "key long, i int, j int, sid long, c long")
 
-def _verified(pairs: DataFrame, docs: DataFrame, outer: Scratch) -> DataFrame:
-    """Of pairs (x, y, cx, cy) of sets the edges (a, b) between the groups of those with similarity 0.8 or more."""
-    with Scratch(docs.sparkSession) as scratch:
-        pairs = scratch.cut(pairs.distinct(), "pairs")
-        wanted = scratch.cut(pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct(), "wanted")
-        sets = scratch.cut(_sets(docs).join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
-        bits = sets.select("sid", "many", F.size("found").alias("n"))
-        bounded = pairs.join(bits.toDF("x", "mx", "nx"), "x").join(bits.toDF("y", "my", "ny"), "y")
-        differ = F.aggregate(F.zip_with("mx", "my", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, b: n + b)
-        bounded = scratch.cut(bounded.where(9 * differ <= F.col("nx") + F.col("ny")).select("x", "y", "cx", "cy"), "bounded")
-        both = bounded.join(sets.select(F.col("sid").alias("x"), F.col("found").alias("fx")), "x").join(sets.select(F.col("sid").alias("y"), F.col("found").alias("fy")), "y")
-        enough = 9 * F.size(F.array_intersect("fx", "fy")) >= 4 * (F.size("fx") + F.size("fy"))
-        return outer.cut(both.where(enough).select(F.col("cx").alias("a"), F.col("cy").alias("b")).distinct(), "similar")
+
+def _forest(tiles: DataFrame) -> DataFrame:
+    """a, b: edges between groups that connect what the similar sets of each tile connect."""
+
+    def make():
+        def f(batch: pa.RecordBatch) -> dict | None:
+            edges = set()
+            for row in batch.column("members"):
+                c, found = row.values.field("c").to_pylist(), [x.values.to_numpy() for x in row.values.field("found")]
+                root = {g: g for g in c}
+
+                def head(g: int, root: dict[int, int] = root) -> int:
+                    while root[g] != g:
+                        g = root[g]
+                    return g
+
+                for i in range(len(c)):
+                    for j in range(i):
+                        a, b = head(c[i]), head(c[j])
+                        if a != b and 5 * min(len(found[i]), len(found[j])) >= 4 * max(len(found[i]), len(found[j])) and similar(found[i], found[j]):
+                            root[max(a, b)] = min(a, b)
+                            edges.add((c[i], c[j]))
+            return {"a": [a for a, _ in edges], "b": [b for _, b in edges]} if edges else None
+
+        return f
+
+    return arrow_map(tiles.select("members"), make, "a long, b long")
 
 
 def _regroup(placed: DataFrame, group: DataFrame) -> DataFrame:
@@ -174,37 +231,33 @@ def _regroup(placed: DataFrame, group: DataFrame) -> DataFrame:
     return placed.join(group, placed.c == group.node, "left").withColumn("c", F.coalesce("component", "c")).drop("node", "component")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """A row per document: doc_id and component_id, the smallest doc_id reachable by links. The result is a written table."""
     with Scratch(docs.sparkSession) as scratch:
         prints = scratch.cut(_prints(docs), "prints")
-        sets = prints.groupBy("sid").agg(F.min("fp").alias("c"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-        several = prints.groupBy("sid").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1).select("a", F.explode("all").alias("b"))
-        group = components(links(prints.select("fp").distinct()).unionByName(several))
-        groups = scratch.cut(_regroup(sets, group), "groups")
-
-        keys = _keys(docs, *crowded_cells(docs)).distinct()
-        keys = scratch.cut(keys, "all-keys")
-        shared = scratch.cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
-        kept = scratch.cut(keys.join(shared, "key", "left_semi"), "keys")
-        scratch.drop(keys, shared)
-        placed = kept.join(groups, "sid").select("key", F.struct("sid", "c", "n", "bits").alias("one"))
-        # Mostly the same set stands for all keys of a cluster, so that a first round has a pair a member.
-        first = scratch.cut(placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("one.sid").alias("h"), "one"))["one"].alias("two")), "first")
-        star = placed.join(first, "key").where(_may("one", "two")).select(*_pair("one", "two"))
-        starred = components(_verified(star, docs, scratch))
-        scratch.drop(first)
-        groups = scratch.cut(_regroup(groups, starred), "groups")
-
-        placed = kept.join(groups, "sid").select("key", F.struct("sid", "c", "n", "bits").alias("one"))
-        mixed = scratch.cut(placed.groupBy("key").agg(F.min("one.c").alias("lo"), F.max("one.c").alias("hi")).where("lo < hi").select("key"), "mixed")
-        left = scratch.cut(placed.join(mixed, "key"), "open")
-        scratch.drop(kept, mixed)
-        rest = left.join(left.withColumnRenamed("one", "two"), "key").where((F.col("one.sid") < F.col("two.sid")) & _may("one", "two"))
-        rested = components(_verified(rest.select(*_pair("one", "two")), docs, scratch))
-        groups = _regroup(groups, rested)
-
-        found = scratch.cut(prints.join(groups.select("sid", "c"), "sid").select("doc_id", "c"), "found")
+        nodes = scratch.cut(prints.groupBy("sid").agg(F.min("fp").alias("c"), F.max("fp").alias("top"), F.min("tie").alias("tie"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "nodes")
+        # Equal sets whose fingerprints differ, by repeats or order.
+        several = scratch.cut(nodes.where("c < top").select("sid", F.col("c").alias("a")), "several")
+        several = prints.select("sid", F.col("fp").alias("b")).join(several, "sid").select("a", "b").distinct()
+        group = components(links(nodes.select(F.col("c").alias("fp")).union(several.select("b")).distinct()).unionByName(several))
+        groups = scratch.cut(_regroup(nodes.drop("top"), group), "groups")
+
+        pairs = scratch.cut(_nearest(_tiles(groups, scratch, block)).distinct(), "pairs")
+        ties = groups.select("sid", "tie")
+        wanted = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct()
+        sets = scratch.cut(_sets(docs, scratch.cut(wanted.join(ties, "sid").select("tie"), "wanted")), "sets")
+        both = pairs.join(sets.select(F.col("sid").alias("x"), F.col("found").alias("fx")), "x").join(sets.select(F.col("sid").alias("y"), F.col("found").alias("fy")), "y")
+        enough = 9 * F.size(F.array_intersect("fx", "fy")) >= 4 * (F.size("fx") + F.size("fy"))
+        near = scratch.cut(both.where(enough).select(F.col("cx").alias("a"), F.col("cy").alias("b")).distinct(), "near")
+        groups = scratch.cut(_regroup(groups, components(near)), "groups")
+
+        members = scratch.cut(_members(_tiles(groups, scratch, block // 2)), "members")
+        rest = members.select("sid").distinct()
+        sets = scratch.cut(_sets(docs, scratch.cut(rest.join(ties, "sid").select("tie"), "wanted")), "sets")
+        tiles = members.join(sets, "sid").groupBy("key", "i", "j").agg(F.collect_list(F.struct("c", "found")).alias("members"))
+        groups = _regroup(groups.select("sid", "c"), components(scratch.cut(_forest(tiles).distinct(), "far")))
+
+        found = scratch.cut(prints.select("doc_id", "sid").join(scratch.cut(groups, "placed"), "sid").select("doc_id", "c"), "found")
         smallest = scratch.cut(found.groupBy("c").agg(F.min("doc_id").alias("component_id")), "smallest")
         out, _ = cut(found.join(smallest, "c").select("doc_id", "component_id"), "near-copies")
     return out

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilequarry.llm.common import cut, documents
+from tilequarry.llm.common import bounded, cut, documents
 
 BUCKETS = 10_000
 SMOOTHING = 1.0
@@ -104,7 +104,8 @@ def model(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, smoothi
 
     # The raw counts leave texts where they are; only the texts that may be trusted meet the labels.
     fit = ~_held_out(F.col("doc_id"), folds)
-    target = counted(rows.where(fit).join(_trusted(labels).where(fit), "doc_id", "left_semi"), "target")
+    trusted, _ = cut(_trusted(labels).where(fit), "trusted")
+    target = counted(rows.where(fit).join(bounded(trusted, 16), "doc_id", "left_semi"), "target")
     counts = counted(rows, "raw").join(target, ["group", "cell"], "left")
     every = counts.select("group").distinct().select("group", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("cell"))
     summed = (
