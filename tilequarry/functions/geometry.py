@@ -133,11 +133,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-#: Fixed value: a number and, after it, a unit.
-LENGTH = r"^\s*([0-9]*\.?[0-9]+(?:[eE][+-]?[0-9]+)?)\s*(.*)$"
+#: A decimal number without sign at the start of a text: whole digits, a fraction or both, and an exponent.
+NUMBER = r"^(?i)((\d+(\.\d+)?|\.\d+)(e[+-]?\d+)?)"
 
 
 def parse_length(text: Column, fallback: str) -> tuple[Column, Column]:
     """(value, unit): value is null if no number stands at the start, the unit falls back if there is none."""
-    number, unit = F.regexp_extract(F.trim(text), LENGTH, 1), F.trim(F.regexp_extract(F.trim(text), LENGTH, 2))
+    number = F.regexp_extract(F.trim(text), NUMBER, 1)
+    unit = F.trim(F.substr(F.trim(text), F.length(number) + 1))
     return F.when(number != "", number.cast("double")), F.when((number == "") | (unit == ""), F.lit(fallback)).otherwise(unit)

@@ -8,6 +8,7 @@ suppressors are all gone stays. Each round is one pass over the undecided edges,
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +20,15 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the session's checkpoint folder; it goes with the driver's process."""
+    """df as a Parquet table in the session's checkpoint folder; it goes with the driver's process.
+
+    LOCAL_CHECKPOINTS is used on one machine only.
+    """
     spark = df.sparkSession
-    where = f"{(spark.conf.get('spark.checkpoint.dir', None) or LOCAL_CHECKPOINTS).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    where = f"{(folder or LOCAL_CHECKPOINTS).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(where)
     atexit.register(_remove, spark, where)
     return spark.read.schema(df.schema).parquet(where)
@@ -52,8 +59,9 @@ def pairs(boxes: DataFrame, limit: float, by: tuple[str, ...] = ()) -> DataFrame
     side = boxes.agg(F.greatest(F.max("w"), F.max("h"), F.lit(1)).alias("cell")).first()["cell"] or 1
     cols = ["id", "x", "y", "w", "h", "score", *by]
     cx, cy = F.floor(F.col("x") / side), F.floor(F.col("y") / side)
-    near = F.explode(F.flatten(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: F.transform(F.array(*[F.lit(j) for j in (-1, 0, 1)]), lambda j: F.struct((cx + i).alias("cx"), (cy + j).alias("cy"))))))
-    a = boxes.select(*cols, near.alias("c")).select(*cols, "c.cx", "c.cy").alias("a")
+    # Half of the neighbourhood: of two boxes in different cells one has the other ahead, in one cell the smaller id leads.
+    near = F.explode(F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy"), F.lit((i, j) == (0, 0)).alias("own")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]))
+    a = boxes.select(*cols, near.alias("c")).select(*cols, "c.cx", "c.cy", "c.own").alias("a")
     b = boxes.select(*cols, cx.alias("cx"), cy.alias("cy")).alias("b")
     same = [F.col("a.cx") == F.col("b.cx"), F.col("a.cy") == F.col("b.cy"), *[F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]]
     side_of = lambda p: tuple(F.col(f"{p}.{n}") for n in "xywh")
@@ -61,7 +69,13 @@ def pairs(boxes: DataFrame, limit: float, by: tuple[str, ...] = ()) -> DataFrame
     cond = same[0]
     for c in same[1:]:
         cond = cond & c
-    return a.join(b, cond & (F.col("a.id") != F.col("b.id")) & (overlap > limit) & precedes("a", "b")).select(F.col("a.id").alias("hi"), F.col("b.id").alias("lo"), overlap.alias("iou"))
+    cond = cond & (~F.col("a.own") | (F.col("a.id") < F.col("b.id")))
+    if limit >= 0:  # boxes that don't meet are told apart before areas are divided
+        for p, side in (("x", "w"), ("y", "h")):
+            cond = cond & (F.col(f"a.{p}") < F.col(f"b.{p}") + F.col(f"b.{side}")) & (F.col(f"b.{p}") < F.col(f"a.{p}") + F.col(f"a.{side}"))
+    first = precedes("a", "b")
+    hi, lo = F.when(first, F.col("a.id")).otherwise(F.col("b.id")), F.when(first, F.col("b.id")).otherwise(F.col("a.id"))
+    return a.join(b, cond & (overlap > limit)).select(hi.alias("hi"), lo.alias("lo"), overlap.alias("iou"))
 
 
 def nms(boxes: DataFrame, limit: float, by: tuple[str, ...] = (), max_rounds: int = 2000) -> DataFrame:

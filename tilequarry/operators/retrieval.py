@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilequarry.functions.geometry import dot
+from tilequarry.operators.nms import written
 
 #: Queries are few (a template's windows, orientations or descriptors); more than this are not broadcast but refused.
 MAX_QUERIES = 65_536
@@ -82,15 +83,30 @@ def dedupe(proposals: DataFrame, cell: int) -> DataFrame:
     return proposals.withColumn("rank", rank).where("rank = 1").drop("rank")
 
 
-def neighbour_pairs(points: DataFrame, radius: int, k: int) -> DataFrame:
-    """i, j, dx, dy: of each point (id, x, y) its k nearest others within the radius, by a grid join."""
+def _within(centres: DataFrame, points: DataFrame, radius: int, k: int, carry: tuple[str, ...]) -> DataFrame:
+    """i, j, xi, yi, dx, dy, the carried columns with suffixes _i and _j, rank: of each centre its k nearest points."""
     near = F.explode(F.array(*[F.struct((F.floor(F.col("x") / radius) + i).alias("cx"), (F.floor(F.col("y") / radius) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    a = points.select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), near.alias("c")).select("i", "xi", "yi", "c.cx", "c.cy")
-    b = points.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))
+    mine, theirs = [F.col(c).alias(f"{c}_i") for c in carry], [F.col(c).alias(f"{c}_j") for c in carry]
+    a = centres.select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), *mine, near.alias("c")).select("i", "xi", "yi", *[f"{c}_i" for c in carry], "c.cx", "c.cy")
+    b = points.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), *theirs, F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))
     dx, dy = F.col("xj") - F.col("xi"), F.col("yj") - F.col("yi")
-    pairs = a.join(b, ["cx", "cy"]).where((F.col("i") != F.col("j")) & (dx * dx + dy * dy <= radius * radius)).select("i", "j", "xi", "yi", dx.alias("dx"), dy.alias("dy"))
+    pairs = a.join(b, ["cx", "cy"]).where((F.col("i") != F.col("j")) & (dx * dx + dy * dy <= radius * radius))
+    pairs = pairs.select("i", "j", "xi", "yi", dx.alias("dx"), dy.alias("dy"), *[f"{c}_{s}" for s in "ij" for c in carry])
     rank = F.row_number().over(Window.partitionBy("i").orderBy(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"), "j"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def neighbour_pairs(points: DataFrame, radius: int, k: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """i, j, xi, yi, dx, dy: of each point (id, x, y) its k nearest others within the radius, by grid joins.
+
+    Points that have k others within a third of the radius are done with these; only the rest search the whole of it.
+    """
+    close = max(1, radius // 3)
+    found = written(_within(points, points, close, k, carry), "neighbours")
+    done = written(found.where(F.col("rank") == k).select(F.col("i").alias("done")), "neighbours-done")
+    rest = points.join(done, points["id"] == done["done"], "left_anti")
+    first = found.join(done, found["i"] == done["done"], "left_semi")
+    return first.unionByName(_within(rest, points, radius, k, carry)).drop("rank")
 
 
 def pair_votes(template: DataFrame, image: DataFrame, radius: int, k: int, quantum: int, bin_side: int, floor: int) -> DataFrame:
@@ -101,12 +117,9 @@ def pair_votes(template: DataFrame, image: DataFrame, radius: int, k: int, quant
     """
 
     def hashed(points: DataFrame, name: str) -> DataFrame:
-        words = points.select(F.col("id"), "word")
         q = lambda c: F.rint(F.col(c) / quantum).cast("long")
-        return (
-            neighbour_pairs(points, radius, k).join(words.withColumnsRenamed({"id": "i", "word": "wi"}), "i").join(words.withColumnsRenamed({"id": "j", "word": "wj"}), "j")
-            .select("wi", "wj", q("dx").alias("qx"), q("dy").alias("qy"), F.col("xi").alias(f"{name}x"), F.col("yi").alias(f"{name}y"))
-        )
+        pairs = neighbour_pairs(points, radius, k, ("word",))
+        return pairs.select(F.col("word_i").alias("wi"), F.col("word_j").alias("wj"), q("dx").alias("qx"), q("dy").alias("qy"), F.col("xi").alias(f"{name}x"), F.col("yi").alias(f"{name}y"))
 
     joined = hashed(image, "p").join(hashed(template, "t"), ["wi", "wj", "qx", "qy"])
     ox, oy = F.col("px") - F.col("tx"), F.col("py") - F.col("ty")

@@ -136,7 +136,8 @@ def positives_append(spark, sf):
     "example_under_point",
     f"""WITH {BOXES_SQL}, pt AS (SELECT o_orderkey AS pid, (o_orderkey * 7919 + o_custkey * 31) % 20000 AS px, (o_custkey * 104729 + o_orderkey * 17) % 20000 AS py FROM orders),
 c AS (SELECT *, unnest([0, 1]) AS ix FROM boxes), d AS (SELECT *, unnest([0, 1]) AS iy FROM c)
-SELECT pid, arg_min(id, (w * h) * 1000000000 + id) AS id FROM d JOIN pt ON d.x // 68 + ix = px // 68 AND d.y // 68 + iy = py // 68 WHERE px >= x AND px < x + w AND py >= y AND py < y + h GROUP BY pid""",
+SELECT pid, id FROM d JOIN pt ON d.x // 68 + ix = px // 68 AND d.y // 68 + iy = py // 68 WHERE px >= x AND px < x + w AND py >= y AND py < y + h
+QUALIFY row_number() OVER (PARTITION BY pid ORDER BY w * h, id) = 1""",
 )
 def example_under_point(spark, sf):
     """The smallest box under each point; a point for each order."""
@@ -229,8 +230,9 @@ def calibration_measure(spark, sf):
 
 
 @query("parse_length", r"""WITH t AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN ' 12.5 mm' WHEN 1 THEN p_size::VARCHAR WHEN 2 THEN '.5e1cm' WHEN 3 THEN 'mm' ELSE p_size || '  µm ' END AS s FROM part),
-m AS (SELECT id, regexp_extract(trim(s), '^\s*([0-9]*\.?[0-9]+(?:[eE][+-]?[0-9]+)?)\s*(.*)$', 1) AS n, trim(regexp_extract(trim(s), '^\s*([0-9]*\.?[0-9]+(?:[eE][+-]?[0-9]+)?)\s*(.*)$', 2)) AS u FROM t)
-SELECT id, CASE WHEN n <> '' THEN n::DOUBLE END AS value, CASE WHEN n = '' OR u = '' THEN 'px' ELSE u END AS unit FROM m""")
+m AS (SELECT id, regexp_extract(trim(s), '^((\d+(\.\d+)?|\.\d+)(e[+-]?\d+)?)', 1, 'i') AS n, trim(s) AS whole FROM t),
+v AS (SELECT id, n, trim(whole[length(n) + 1 :]) AS u FROM m)
+SELECT id, CASE WHEN n <> '' THEN n::DOUBLE END AS value, CASE WHEN n = '' OR u = '' THEN 'px' ELSE u END AS unit FROM v""")
 def parse_length(spark, sf):
     size = F.col("p_size").cast("string")
     text = F.when(F.col("p_partkey") % 5 == 0, " 12.5 mm").when(F.col("p_partkey") % 5 == 1, size).when(F.col("p_partkey") % 5 == 2, ".5e1cm").when(F.col("p_partkey") % 5 == 3, "mm").otherwise(F.concat(size, F.lit("  µm ")))

@@ -25,21 +25,21 @@ def semantic_topk(spark, sf):
     return found.select("vec_id", F.round("cos", 9).alias("cos")).orderBy(F.col("cos").desc(), "vec_id").limit(128)
 
 
-@query("semantic_max_queries", f"WITH {_VECTORS}, s AS (SELECT a.vec_id, b.vec_id AS q, round({_COS}, 9) AS cos FROM v a, v b WHERE b.vec_id < 8), m AS (SELECT vec_id, max(cos) AS cos FROM s GROUP BY vec_id) SELECT m.vec_id, min(q) AS query, least(greatest(m.cos, 0.0), 1.0) AS score FROM m JOIN s ON m.vec_id = s.vec_id AND m.cos = s.cos WHERE m.cos >= 0.1 GROUP BY m.vec_id, m.cos")
+@query("semantic_max_queries", f"WITH {_VECTORS}, s AS (SELECT a.vec_id, b.vec_id AS q, round({_COS}, 9) AS cos FROM v a, v b WHERE b.vec_id % 100 = 0), m AS (SELECT vec_id, max(cos) AS cos FROM s GROUP BY vec_id) SELECT m.vec_id, min(q) AS query, least(greatest(m.cos, 0.0), 1.0) AS score FROM m JOIN s ON m.vec_id = s.vec_id AND m.cos = s.cos WHERE m.cos >= 0.1 GROUP BY m.vec_id, m.cos")
 def semantic_max_queries(spark, sf):
-    """Windows by the best of eight queries (a template's orientations)."""
-    return R.best_query(table(spark, sf, "embeddings"), _queries(spark, sf, "vec_id < 8"), "vec_id", 0.1)
+    """Windows by the best of the queries (ids divisible by 100)."""
+    return R.best_query(table(spark, sf, "embeddings"), _queries(spark, sf, "vec_id % 100 = 0"), "vec_id", 0.1)
 
 
-@query("semantic_exemplars", f"""WITH {_VECTORS}, s AS (SELECT a.vec_id, b.vec_id AS q, round({_COS}, 9) AS cos FROM v a, v b WHERE b.vec_id < 12)
-SELECT vec_id, max(cos) FILTER (q < 6) AS positive, max(cos) FILTER (q >= 6) AS negative, max(cos) FILTER (q < 6) >= max(cos) FILTER (q >= 6) AS kept FROM s GROUP BY vec_id""")
+@query("semantic_exemplars", f"""WITH {_VECTORS}, s AS (SELECT a.vec_id, b.vec_id AS q, round({_COS}, 9) AS cos FROM v a, v b WHERE b.vec_id % 100 = 0)
+SELECT vec_id, max(cos) FILTER (q % 200 = 0) AS positive, max(cos) FILTER (q % 200 <> 0) AS negative, max(cos) FILTER (q % 200 = 0) >= max(cos) FILTER (q % 200 <> 0) AS kept FROM s GROUP BY vec_id""")
 def semantic_exemplars(spark, sf):
-    kinds = _queries(spark, sf, "vec_id < 12").withColumn("kind", F.when(F.col("query") < 6, "positive").otherwise("negative"))
+    kinds = _queries(spark, sf, "vec_id % 100 = 0").withColumn("kind", F.when(F.col("query") % 200 == 0, "positive").otherwise("negative"))
     return R.exemplars(table(spark, sf, "embeddings"), kinds, "vec_id")
 
 
-query("nearest_exemplar", f"""WITH {_VECTORS}, s AS (SELECT a.vec_id, b.vec_id AS q, round({_COS}, 9) AS cos FROM v a, v b WHERE b.vec_id < 12),
-k AS (SELECT vec_id, max(cos) FILTER (q < 6) AS p, max(cos) FILTER (q >= 6) AS n FROM s GROUP BY vec_id) SELECT vec_id, p AS score FROM k WHERE p >= n""")(
+query("nearest_exemplar", f"""WITH {_VECTORS}, s AS (SELECT a.vec_id, b.vec_id AS q, round({_COS}, 9) AS cos FROM v a, v b WHERE b.vec_id % 100 = 0),
+k AS (SELECT vec_id, max(cos) FILTER (q % 200 = 0) AS p, max(cos) FILTER (q % 200 <> 0) AS n FROM s GROUP BY vec_id) SELECT vec_id, p AS score FROM k WHERE p >= n""")(
     lambda spark, sf: semantic_exemplars(spark, sf).where("kept").select("vec_id", F.col("positive").alias("score"))
 )
 

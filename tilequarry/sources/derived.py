@@ -50,11 +50,11 @@ raster AS (SELECT x, y, coalesce(r2, r) AS r, coalesce(g2, g) AS g, coalesce(b2,
 
 
 def line_id() -> Column:
-    """A number of each line item; order and line alone don't tell them apart."""
-    return ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 200003 + F.col("l_partkey")) * 1009 + F.col("l_suppkey") % 1009
+    """A number of each line item; only order, line, part, supplier and quantity together tell them apart."""
+    return (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 200003 + F.col("l_partkey")) * 1009 + F.col("l_suppkey") % 1009) * 64 + F.col("l_quantity").cast("long")
 
 
-LINE_ID_SQL = "(((l_orderkey * 8 + l_linenumber) * 200003 + l_partkey) * 1009 + l_suppkey % 1009)"
+LINE_ID_SQL = "((((l_orderkey * 8 + l_linenumber) * 200003 + l_partkey) * 1009 + l_suppkey % 1009) * 64 + trunc(l_quantity)::BIGINT)"
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
