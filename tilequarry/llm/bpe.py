@@ -79,7 +79,7 @@ class ByteBpe:
     space, or with white space but spaces and line feeds, is split by the pattern as a whole.
     """
 
-    CACHE = 400_000
+    CACHE = 200_000
     #: Characters of what is kept, at most; longer matches are encoded each time.
     LONG = 64
 

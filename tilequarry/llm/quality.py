@@ -106,7 +106,8 @@ def model(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, smoothi
     fit = ~_held_out(F.col("doc_id"), folds)
     trusted, _ = cut(_trusted(labels).where(fit), "trusted")
     target = counted(rows.where(fit).join(bounded(trusted, 16), "doc_id", "left_semi"), "target")
-    counts = counted(rows, "raw").join(target, ["group", "cell"], "left")
+    # Written, as it is read more than once: at most buckets rows a group.
+    counts, _ = cut(counted(rows, "raw").join(target, ["group", "cell"], "left"), "counts")
     every = counts.select("group").distinct().select("group", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("cell"))
     summed = (
         every.join(counts, ["group", "cell"], "left").groupBy("group")
