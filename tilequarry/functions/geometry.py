@@ -142,3 +142,69 @@ def parse_length(text: Column, fallback: str) -> tuple[Column, Column]:
     number = F.regexp_extract(F.trim(text), NUMBER, 1)
     unit = F.trim(F.substr(F.trim(text), F.length(number) + 1))
     return F.when(number != "", number.cast("double")), F.when((number == "") | (unit == ""), F.lit(fallback)).otherwise(unit)
+
+
+def gray_byte(r: Column, g: Column, b: Column) -> Column:
+    """Luminance as a whole number of 0..255, half to even."""
+    return F.greatest(F.lit(0.0), F.least(F.rint(r * F.lit(0.299) + g * F.lit(0.587) + b * F.lit(0.114)), F.lit(255.0))).cast("int")
+
+
+def unit_deviation(vector: Column) -> Column:
+    """vector less its mean, at length one; a constant vector becomes zeros."""
+    size = F.size(vector)
+    mean = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double")) / size
+    own = F.transform(vector, lambda x: x.cast("double") - mean)
+    length = F.sqrt(F.aggregate(own, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(own, lambda x: x / (length + F.lit(1e-6)))
+
+
+#: A turn this near to a right angle counts as one (degrees).
+RIGHT_ANGLE = 12.0
+
+
+def _composed(turn: str, code: str) -> str:
+    """The orientation that is `code` first, then `turn`."""
+    (a, b, c, d), (e, f, g, h) = ORIENTATIONS[turn], ORIENTATIONS[code]
+    product = (a * e + b * g, a * f + b * h, c * e + d * g, c * f + d * h)
+    return next(o for o, own in ORIENTATIONS.items() if own == product)
+
+
+def net_orientation(code: Column, degrees: Column, tolerance: float = RIGHT_ANGLE) -> Column:
+    """The orientation of a copy found under `code` and turned by `degrees` more; null unless that is about a right angle."""
+    quarter = F.rint(degrees / 90)
+    turns = ("R0", "R90", "R180", "R270")
+    table = F.create_map(*[F.lit(v) for o in ORIENTATIONS for k, t in enumerate(turns) for v in (f"{o}+{k}", _composed(t, o))])
+    key = F.concat(code, F.lit("+"), F.pmod(quarter.cast("int"), F.lit(4)).cast("string"))
+    return F.when(F.abs(degrees - quarter * 90) <= tolerance, F.try_element_at(table, key))
+
+
+def level_of_detail(scale: Column, levels: int, current: Column | None = None, band: float = 0.25) -> Column:
+    """The pyramid level of a view with `scale` view pixels an image pixel; a current level stays until the ideal is 1 - band off."""
+    ideal = F.when(scale > 0, F.greatest(F.lit(0.0), F.log2(1 / scale))).otherwise(F.lit(0.0))
+    target = F.greatest(F.lit(0.0), F.least(F.rint(ideal), F.lit(levels - 1.0))).cast("int")
+    return target if current is None else F.when(F.abs(ideal - current) < 1 - band, current).otherwise(target)
+
+
+def rectilinear(clicks: list[tuple[float, float]]) -> list[tuple[int, int]]:
+    """The corners of a right-angled polygon from clicks: each edge follows its longer delta; a last corner closes it."""
+    points: list[tuple[int, int]] = []
+    for x, y in clicks:
+        px, py = round(x), round(y)
+        if points:
+            (lx, ly) = points[-1]
+            px, py = (px, ly) if abs(px - lx) >= abs(py - ly) else (lx, py)
+        points.append((px, py))
+    if len(points) < 3:
+        raise ValueError("a polygon has three corners or more")
+    (lx, ly), (fx, fy) = points[-1], points[0]
+    return points if lx == fx or ly == fy else [*points, (lx, fy)]
+
+
+def in_polygon(x: Column, y: Column, points: list[tuple[int, int]]) -> Column:
+    """Whether the centre of pixel (x, y) is inside by the even-odd rule."""
+    cx, cy, crossed = x + F.lit(0.5), y + F.lit(0.5), F.lit(0)
+    for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1], strict=True):
+        if ay != by:
+            edge = F.lit(float(ax)) + (cy - ay) * ((bx - ax) / (by - ay))
+            crossed = crossed + F.when((cy >= min(ay, by)) & (cy < max(ay, by)) & (cx < edge), 1).otherwise(0)
+    return crossed % 2 == 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilequarry.functions import kernels as K
@@ -48,6 +48,17 @@ def prepare(tiles: DataFrame, positives: list[Box], negatives: list[Box], side:
     return mean, aligned, [p[pad : pad + h, pad : pad + w] for p in wide[len(positives) :]]
 
 
+def without_examples(examples: DataFrame, removed: DataFrame) -> DataFrame:
+    """examples (selection, kind, n, ...) less the removed ones, numbered anew by kind.
+
+    The first positive that is left becomes the selection's own box (number 1); a selection without positives goes as a whole.
+    """
+    left = examples.join(removed.select("selection", "kind", "n"), ["selection", "kind", "n"], "left_anti")
+    alive = left.where(F.col("kind") == "pos").select("selection").distinct()
+    renumbered = F.row_number().over(Window.partitionBy("selection", "kind").orderBy("n"))
+    return left.join(alive, "selection", "left_semi").withColumn("n", renumbered)
+
+
 def match_examples(tiles: DataFrame, positives: list[Box], negatives: list[Box], *, side: int, floor: float = 0.5, nms_iou: float = 0.3, exclude_iou: float = 0.3, max_results: int = 500) -> DataFrame:
     """Ranked matches of a search by examples; max_results 0: all of them.
 

@@ -48,6 +48,17 @@ def matches_of(parsed: DataFrame, *keep: str) -> DataFrame:
     return one.select(*keep, "entry", "method", "threshold", "m.x", "m.y", "m.w", "m.h", "m.score", F.coalesce("m.scale", F.lit(1.0)).alias("scale"), F.coalesce("m.orientation", F.lit("R0")).alias("orientation"))
 
 
+def source_state(documents: DataFrame, images: DataFrame, shown: str) -> DataFrame:
+    """documents with state: whether the source image is the one shown, another that can be opened, missing, or not named.
+
+    images: image_id of those that can be read; a name that stands twice counts once.
+    """
+    known = images.select(F.col("image_id").alias("known__")).distinct()
+    joined = documents.join(known, documents["source_image"] == known["known__"], "left")
+    state = F.when(F.coalesce("source_image", F.lit("")) == "", "unnamed").when(F.col("source_image") == shown, "shown").when(F.col("known__").isNotNull(), "openable").otherwise("missing")
+    return joined.withColumn("state", state).drop("known__")
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     """doc of each JSON file at a path."""
     return parse(spark.read.text(path, wholetext=True).withColumnRenamed("value", "document"))

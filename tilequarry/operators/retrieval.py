@@ -83,6 +83,29 @@ def dedupe(proposals: DataFrame, cell: int) -> DataFrame:
     return proposals.withColumn("rank", rank).where("rank = 1").drop("rank")
 
 
+def top_proposals(proposals: DataFrame, k: int = 3000) -> DataFrame:
+    """The k proposals with most votes, the first by place of equal ones."""
+    return proposals.orderBy(F.col("votes").desc(), "cx", "cy", "orientation").limit(k)
+
+
+def near_points(proposals: DataFrame, points: DataFrame, radius: int) -> DataFrame:
+    """proposals (cx, cy) with the points (x, y) that lie less than `radius` off on both axes, by a grid join."""
+    near = F.explode(F.array(*[F.struct((F.floor(F.col("cx") / radius) + i).alias("gx"), (F.floor(F.col("cy") / radius) + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    a = proposals.withColumn("g__", near).withColumns({"gx__": F.col("g__.gx"), "gy__": F.col("g__.gy")}).drop("g__")
+    b = points.withColumns({"gx__": F.floor(F.col("x") / radius), "gy__": F.floor(F.col("y") / radius)})
+    inside = (F.abs(F.col("x") - F.col("cx")) < radius) & (F.abs(F.col("y") - F.col("cy")) < radius)
+    return a.join(b, ["gx__", "gy__"]).where(inside).drop("gx__", "gy__")
+
+
+def spread_evenly(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
+    """Of each group k rows at even steps of its order, both ends among them; smaller groups stay whole. k: 2 or more."""
+    whole = Window.partitionBy(*by)
+    ranked = rows.withColumns({"r__": (F.row_number().over(whole.orderBy(*order)) - 1).cast("long"), "of__": F.count(F.lit(1)).over(whole)})
+    # Row r is a step if the first step at or beyond it, i, falls on it.
+    kept = f"of__ <= {k} or (((r__ * {k - 1} + of__ - 2) div (of__ - 1)) * (of__ - 1)) div {k - 1} = r__"
+    return ranked.where(kept).drop("r__", "of__")
+
+
 def _within(centres: DataFrame, points: DataFrame, radius: int, k: int, carry: tuple[str, ...]) -> DataFrame:
     """i, j, xi, yi, dx, dy, the carried columns with suffixes _i and _j, rank: of each centre its k nearest points."""
     near = F.explode(F.array(*[F.struct((F.floor(F.col("x") / radius) + i).alias("cx"), (F.floor(F.col("y") / radius) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))

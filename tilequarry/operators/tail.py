@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilequarry.functions import geometry as G
-from tilequarry.operators.nms import rank_key
+from tilequarry.operators.nms import rank_key, written
 
 
 def at_least(matches: DataFrame, threshold: float) -> DataFrame:
@@ -128,6 +128,31 @@ def mutual_best(pairs: DataFrame) -> DataFrame:
     return both.withColumns({"rt": rank("t", "d"), "rd": rank("d", "t")}).where("rt = 1 and rd = 1")
 
 
+def greedy_pairs(edges: DataFrame, limit: float) -> DataFrame:
+    """t, d, iou: truths in order of t each take the detection of highest iou (the first by d of equal ones) that is left.
+
+    Edges: t, d, iou. A truth decides as soon as no earlier undecided one could take its favourite; each round is a written table
+    of the edges that remain, and the first truth left always decides.
+    """
+    left, taken = written(edges.where(F.col("iou") >= limit).select("t", "d", "iou"), "edges"), []
+    while True:
+        wish = left.groupBy("t").agg(F.min_by(F.struct("d", "iou"), F.struct((-F.col("iou")).alias("k"), F.col("d"))).alias("best")).select("t", "best.d", "best.iou")
+        took = written(wish.join(left.groupBy("d").agg(F.min("t").alias("t")), ["t", "d"]), "pairs")
+        taken.append(took)
+        if took.isEmpty():
+            break
+        left = written(left.join(took.select("t"), "t", "left_anti").join(took.select("d"), "d", "left_anti").select("t", "d", "iou"), "edges")
+    out = taken[0]
+    for t in taken[1:]:
+        out = out.unionByName(t)
+    return out.select("t", "d", "iou")
+
+
+def allowed(matches: DataFrame, rotation: bool, flipping: bool) -> DataFrame:
+    """matches whose orientation a search with these switches may give."""
+    return matches.where(F.col("orientation").isin(G.active_orientations(rotation, flipping)))
+
+
 @dataclass(frozen=True)
 class Calibration:
     """Physical units: `scale` of them a pixel, from an origin."""

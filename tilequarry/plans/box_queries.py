@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilequarry.functions import geometry as G
+from tilequarry.operators import examples as X
+from tilequarry.operators import memory as M
 from tilequarry.operators import nms as N
 from tilequarry.operators import tail as T
 from tilequarry.plans.registry import query
@@ -285,3 +287,73 @@ def stale_drop(spark, sf):
 def example_numbering(spark, sf):
     by = Window.partitionBy("orientation", F.floor(F.col("x") / 2000), F.floor(F.col("y") / 2000)).orderBy("id")
     return boxes(spark, sf).select("id", F.col("orientation").alias("kind"), F.row_number().over(by).alias("number"))
+
+
+_PAIRED = f"""{_PAIRS_SQL}, e AS (SELECT ai AS t, bi AS d, iou FROM iou WHERE iou > 0.3 AND ai % 3 = 0 AND bi % 3 <> 0)"""
+
+
+@query("recall_greedy", f"""WITH RECURSIVE {_PAIRED}, tl AS (SELECT t, row_number() OVER (ORDER BY t) AS k, list({{'d': d, 'iou': iou}} ORDER BY iou DESC, d) AS wishes FROM e GROUP BY t),
+r AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS t, []::BIGINT[] AS used, NULL::STRUCT(d BIGINT, iou DOUBLE) AS got
+UNION ALL SELECT n.k, n.t, CASE WHEN n.got IS NULL THEN n.used ELSE list_append(n.used, n.got.d) END, n.got FROM (SELECT tl.k, tl.t, r.used, list_filter(tl.wishes, lambda w: NOT list_contains(r.used, w.d))[1] AS got FROM r JOIN tl ON tl.k = r.k + 1) n)
+SELECT t, got.d AS d, round(got.iou, 6) AS iou FROM r WHERE got IS NOT NULL""")
+def recall_greedy(spark, sf):
+    """Truths (ids divisible by 3) in order, each with the best detection left to it."""
+    found = N.pairs(boxes(spark, sf), 0.3).select("hi", "lo", "iou")
+    both = found.select(F.col("hi").alias("t"), F.col("lo").alias("d"), "iou").unionByName(found.select(F.col("lo").alias("t"), F.col("hi").alias("d"), "iou"))
+    return T.greedy_pairs(both.where("t % 3 = 0 and d % 3 <> 0"), 0.3).withColumn("iou", F.round("iou", 6))
+
+
+@query("orientations_allowed", f"WITH {BOXES_SQL} SELECT id, orientation FROM boxes WHERE orientation IN ('R0', 'MX', 'MY')")
+def orientations_allowed(spark, sf):
+    return T.allowed(boxes(spark, sf), False, True).select("id", "orientation")
+
+
+_NET = ",".join(f"('{o}', {k}, '{G._composed(t, o)}')" for o in G.ORIENTATIONS for k, t in enumerate(("R0", "R90", "R180", "R270")))
+
+
+@query("net_orientation", f"""WITH {BOXES_SQL}, a AS (SELECT id, orientation, (x % 1440) / 2.0::DOUBLE - 360 AS deg FROM boxes), m(o, k, net) AS (VALUES {_NET}),
+q AS (SELECT *, round_even(deg / 90, 0)::BIGINT AS k FROM a) SELECT id, CASE WHEN abs(deg - 90 * q.k) <= 12 THEN net END AS net FROM q JOIN m ON m.o = q.orientation AND m.k = ((q.k % 4) + 4) % 4""")
+def net_orientation(spark, sf):
+    degrees = (F.col("x") % 1440) / F.lit(2.0) - 360
+    return boxes(spark, sf).select("id", G.net_orientation(F.col("orientation"), degrees).alias("net"))
+
+
+@query("level_of_detail", f"""WITH {BOXES_SQL}, v AS (SELECT id, 8.0::DOUBLE / h AS s, (w % 4)::INT AS cur FROM boxes), i AS (SELECT id, cur, greatest(0.0, log2(1 / s)) AS ideal FROM v)
+SELECT id, CASE WHEN abs(ideal - cur) < 0.75 THEN cur ELSE least(round_even(ideal, 0), 3)::INT END AS level FROM i""")
+def level_of_detail(spark, sf):
+    current = (F.col("w") % 4).cast("int")
+    return boxes(spark, sf).select("id", G.level_of_detail(F.lit(8.0) / F.col("h"), 4, current).alias("level"))
+
+
+_CLICKS = [(10.2, 6.1), (70.4, 8.0), (69.0, 40.3), (44.6, 42.0), (45.0, 55.2), (12.0, 54.0)]
+
+
+@query("polygon_mask", "WITH g AS (SELECT range % 96 AS x, range // 96 AS y FROM range(6144)) SELECT y, count(*)::BIGINT AS n, min(x) AS first_x, max(x) AS last_x FROM g WHERE x >= 12 AND x < 70 AND y >= 6 AND y < 55 AND NOT (x >= 45 AND y >= 40) GROUP BY y")
+def polygon_mask(spark, sf):
+    """The pixels of each row inside a right-angled polygon drawn by six clicks; the last one is closed along its column, x = 12."""
+    grid = spark.range(6144).select((F.col("id") % 96).alias("x"), F.floor(F.col("id") / 96).alias("y"))
+    inside = grid.where(G.in_polygon(F.col("x"), F.col("y"), G.rectilinear(_CLICKS)))
+    return inside.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("first_x"), F.max("x").alias("last_x"))
+
+
+@query("memory_sources", """WITH d AS (SELECT o_orderkey AS entry, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE 'image-' || o_custkey END AS source_image FROM orders), i AS (SELECT DISTINCT 'image-' || c_custkey AS image_id FROM customer WHERE c_custkey % 3 = 0)
+SELECT entry, CASE WHEN coalesce(source_image, '') = '' THEN 'unnamed' WHEN source_image = 'image-7' THEN 'shown' WHEN image_id IS NOT NULL THEN 'openable' ELSE 'missing' END AS state FROM d LEFT JOIN i ON source_image = image_id""")
+def memory_sources(spark, sf):
+    c = F.col
+    documents = table(spark, sf, "orders").select(c("o_orderkey").alias("entry"), F.when(c("o_orderkey") % 11 != 0, F.concat(F.lit("image-"), c("o_custkey").cast("string"))).alias("source_image"))
+    images = table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("image-"), c("c_custkey").cast("string")).alias("image_id"))
+    return M.source_state(documents, images, "image-7").select("entry", "state")
+
+
+_EXAMPLES_SQL = """ex AS (SELECT l_orderkey AS selection, CASE WHEN l_partkey % 3 = 0 THEN 'neg' ELSE 'pos' END AS kind, l_linenumber AS line, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 3 = 0 ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n, l_quantity < 20 AS gone FROM lineitem)"""
+
+
+@query("example_removal", f"""WITH {_EXAMPLES_SQL}, l AS (SELECT * FROM ex WHERE NOT gone), a AS (SELECT DISTINCT selection FROM l WHERE kind = 'pos')
+SELECT selection, kind, line, row_number() OVER (PARTITION BY selection, kind ORDER BY n)::INT AS n FROM l JOIN a USING (selection)""")
+def example_removal(spark, sf):
+    """Examples (an order's lines) less removed ones; the first positive left is the selection, none left ends it."""
+    c = F.col
+    negative = c("l_partkey") % 3 == 0
+    number = F.row_number().over(Window.partitionBy("l_orderkey", negative).orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    examples = table(spark, sf, "lineitem").select(c("l_orderkey").alias("selection"), F.when(negative, "neg").otherwise("pos").alias("kind"), c("l_linenumber").alias("line"), number.alias("n"), (c("l_quantity") < 20).alias("gone"))
+    return X.without_examples(examples.drop("gone"), examples.where("gone")).select("selection", "kind", "line", "n")

@@ -174,3 +174,8 @@ def ncc_search(spark, sf):
     found = D.scores(channels, _template(channels)).where("score >= 0.5").select(F.monotonically_increasing_id().alias("id"), "x", "y", F.lit(SW).alias("w"), F.lit(SH).alias("h"), F.round("score", 9).alias("score"))
     found = N.written(found.where(~G.excluded(G.box(), tuple(F.lit(v) for v in SOURCE), 0.3)), "candidates")
     return N.top(N.nms(found, 0.3), 500).select("x", "y", "w", "h", F.round("score", 6).alias("score"))
+
+
+@query("gray_bytes", f"WITH {RASTER_SQL} SELECT x, y, least(greatest(round_even(r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE, 0), 0), 255)::INT AS gray FROM raster")
+def gray_bytes(spark, sf):
+    return raster(spark, sf).select("x", "y", G.gray_byte(*[F.col(c).cast("double") for c in "rgb"]).alias("gray"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilequarry.functions.geometry import rootsift as rootsift_of
+from tilequarry.functions.geometry import unit_deviation as unit_deviation_of
 from tilequarry.operators import memory as M
 from tilequarry.operators import retrieval as R
+from tilequarry.operators.nms import written
 from tilequarry.plans.registry import query
 from tilequarry.sources.derived import SAVED_SQL, saved, table
 
@@ -131,3 +133,33 @@ def memory_json_roundtrip(spark, sf):
     """Every saved match written to its order's JSON document and read back from it."""
     documents = M.entries_json(saved(spark, sf), "entry").withColumnRenamed("entry", "saved_entry")
     return M.matches_of(M.parse(documents), "saved_entry").drop("entry")
+
+
+@query("unit_deviation", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT vec_id, list_transform(e, lambda x: x - list_sum(e) / len(e)) AS c FROM v)
+SELECT vec_id, list_transform(c, lambda x: round(x / (sqrt(list_sum(list_transform(c, lambda y: y * y))) + 1e-6), 6)) AS vector FROM d""")
+def unit_deviation(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", F.transform(unit_deviation_of(F.col("embedding")), lambda x: F.round(x, 6)).alias("vector"))
+
+
+@query("top_proposals", f"""WITH {_VOTES}, bn AS (SELECT orientation, floor(cx / 12) AS bx, floor(cy / 12) AS by_, count(*)::BIGINT AS votes, min(cx) AS cx, min(cy) AS cy FROM vt GROUP BY ALL)
+SELECT orientation, votes, cx, cy FROM bn ORDER BY votes DESC, cx, cy, orientation LIMIT 3000""")
+def top_proposals(spark, sf):
+    """The 3,000 proposals with most votes."""
+    bins = _votes(spark, sf).groupBy("orientation", F.floor(F.col("cx") / 12), F.floor(F.col("cy") / 12)).agg(F.count(F.lit(1)).alias("votes"), F.min("cx").alias("cx"), F.min("cy").alias("cy"))
+    return R.top_proposals(bins.select("orientation", "votes", "cx", "cy"))
+
+
+_NEAR = f"""{_BINS}, hd AS (SELECT bx, by_, cx, cy FROM bn WHERE votes >= 4),
+nr AS (SELECT h.bx, h.by_, v.cx AS x, v.cy AS y FROM hd h JOIN vt v ON v.cx > h.cx - 18 AND v.cx < h.cx + 18 AND v.cy > h.cy - 18 AND v.cy < h.cy + 18),
+rk AS (SELECT *, row_number() OVER (PARTITION BY bx, by_ ORDER BY y, x) - 1 AS r, count(*) OVER (PARTITION BY bx, by_) AS m FROM nr)"""
+
+
+@query("cluster_points", f"""WITH {_NEAR} SELECT bx, by_ AS "by", max(m)::BIGINT AS n, count(*)::BIGINT AS kept, round(sum(x), 3) AS sum_x, round(sum(y), 3) AS sum_y FROM rk
+WHERE m <= 140 OR (((r * 139 + m - 2) // (m - 1)) * (m - 1)) // 139 = r GROUP BY bx, by_""")
+def cluster_points(spark, sf):
+    """The correspondences about each proposal, 140 of them at even steps where there are more."""
+    heads = R.centre_votes(_votes(spark, sf), 12, 4).select("bx", "by", "cx", "cy")
+    points = _votes(spark, sf).select(F.col("cx").alias("x"), F.col("cy").alias("y"))
+    near = written(R.near_points(heads, points, 18), "near-points")
+    kept = R.spread_evenly(near, ["bx", "by"], ["y", "x"], 140).groupBy("bx", "by").agg(F.count(F.lit(1)).alias("kept"), F.round(F.sum("x"), 3).alias("sum_x"), F.round(F.sum("y"), 3).alias("sum_y"))
+    return near.groupBy("bx", "by").agg(F.count(F.lit(1)).alias("n")).join(kept, ["bx", "by"])
