@@ -153,3 +153,84 @@ def test_command_line(capsys):
     from tilequarry.__main__ import main
 
     assert main(["--doctor"]) == 0 and json.loads(capsys.readouterr().out)["ok"]
+
+
+def test_views_of_levels(spark):
+    a = I.background(0, 0, 230, 150, 5)
+    tiles = I.array_tiles(spark, a, 64)
+    np.testing.assert_array_equal(I.view(tiles, 0, 50, 40, 100, 70, side=64, size=(150, 230)), a[40:110, 50:150])
+    half = a[:150, :230].astype(int)
+    half = (half[::2, ::2] + half[1::2, ::2] + half[::2, 1::2] + half[1::2, 1::2] + 2) >> 2
+    np.testing.assert_array_equal(I.view(tiles, 1, -5, 60, 200, 40, side=64, size=(150, 230)), half[60:75, 0:115])
+    assert I.view(tiles, 1, 300, 0, 5, 5, side=64, size=(150, 230)).size == 0
+    with pytest.raises(ValueError):
+        I.view(tiles, 7, 0, 0, 1, 1, side=64, size=(150, 230))
+
+
+def test_fingerprint_follows_the_pixels(spark):
+    a, _, _ = scene(6)
+    b = a.copy()
+    b[77, 99, 1] ^= 1
+    one, two, other = (I.fingerprint(I.array_tiles(spark, x, 64)).first()["fingerprint"] for x in (a, a.copy(), b))
+    assert one == two != other
+
+
+def test_progress_rises_and_cancel_stops(spark):
+    from tilequarry.plans.request import Cancelled
+
+    a, own, _ = scene()
+    tiles, seen = I.array_tiles(spark, a, 128), []
+    request = SearchRequest(own, SearchParams(threshold_floor=0.97))
+    request.run(tiles, 128, progress=seen.append)
+    assert seen == sorted(seen) and seen[0] == 0 and seen[-1] == 100
+    with pytest.raises(Cancelled):
+        request.run(tiles, 128, cancel=lambda: True)
+
+
+def blocks(seed: int, h: int, w: int) -> np.ndarray:
+    coarse = np.random.default_rng(seed).integers(0, 256, (h // 10, w // 10)).astype(float)
+    return np.clip(np.stack([K.resample(coarse, h, w)] * 3, axis=-1), 0, 255).astype(np.uint8)
+
+
+def planted():
+    """Three copies of one motif and two of another."""
+    a, own, other = I.background(0, 0, 640, 480, 2), blocks(1, 120, 140), blocks(9, 120, 140)
+    for x, y in ((20, 30), (330, 60), (180, 310)):
+        a[y : y + 120, x : x + 140] = own
+    for x, y in ((480, 200), (480, 350)):
+        a[y : y + 120, x : x + 140] = other
+    return a, own
+
+
+def test_pair_search(spark):
+    from tilequarry.operators.keypoints import pair_search
+
+    a, own = planted()
+    found = pair_search(I.array_tiles(spark, a, 256), own, (480, 640), side=256, exclude_box=(20, 30, 140, 120)).collect()
+    places = sorted((r["x"], r["y"]) for r in found)
+    assert len(places) == 2 and all(abs(x - u) <= 2 and abs(y - v) <= 2 for (x, y), (u, v) in zip(places, [(180, 310), (330, 60)], strict=True))
+    assert min(r["score"] for r in found) >= 0.7
+
+
+def test_retrieval_by_examples(spark):
+    from tilequarry.operators import examples as X
+    from tilequarry.operators import keypoints as P
+
+    a, _ = planted()
+    tiles = I.array_tiles(spark, a, 256)
+    find = lambda t: P.search(tiles, t, side=256, orientations=["R0"], max_results=10_000)
+    one, two = (20, 30, 140, 120), (480, 200, 140, 120)
+    for encoder in (None, "layout"):
+        found = X.match_retrieval(tiles, find, [one], [two], side=256, encoder=encoder).collect()
+        assert sorted((round(r["x"] / 10), round(r["y"] / 10)) for r in found) == [(2, 3), (18, 31), (33, 6)]
+    both = X.match_retrieval(tiles, find, [one, two], [], side=256).collect()
+    assert len(both) == 5
+
+
+def test_zncc_in_sql(spark):
+    from tilequarry.functions.registry import register_sql
+
+    register_sql(spark)
+    a, b = np.random.default_rng(4).random((2, 50))
+    got = spark.createDataFrame([(a.tolist(), b.tolist())], "a array<double>, b array<double>").selectExpr("zncc(a, b) AS s", "zncc(a, a) AS one").first()
+    assert got["s"] == pytest.approx(np.corrcoef(a, b)[0, 1]) and got["one"] == pytest.approx(1)

@@ -1,4 +1,4 @@
-"""Extension points: encoders of image windows, dense scorers by name, and SQL functions for a session."""
+"""Extension points: encoders of image windows, keypoint detectors, and SQL functions for a session."""
 
 from __future__ import annotations
 
@@ -7,7 +7,11 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import SparkSession
 
+from tilequarry.functions import features
+
 Encoder = Callable[[np.ndarray], np.ndarray]
+#: A detector takes a gray plane of 0..1 to its points (n rows of x, y, size, angle) and their descriptors (n rows).
+Detector = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 ENCODERS: dict[str, Encoder] = {}
 
 
@@ -16,6 +20,13 @@ def register_encoder(name: str, encode: Encoder) -> None:
     ENCODERS[name] = encode
 
 
+DETECTORS: dict[str, Detector] = {"corners": features.detect}
+
+
+def register_detector(name: str, detect: Detector) -> None:
+    DETECTORS[name] = detect
+
+
 def mean_colour(windows: np.ndarray) -> np.ndarray:
     return windows.reshape(len(windows), -1, windows.shape[-1]).mean(axis=1) - 128.0
 
@@ -43,11 +54,15 @@ SQL_FUNCTIONS = {
         "ax DOUBLE, ay DOUBLE, aw DOUBLE, ah DOUBLE, bx DOUBLE, by_ DOUBLE, bw DOUBLE, bh DOUBLE", "DOUBLE",
         "greatest(0, least(ax + aw, bx + bw) - greatest(ax, bx)) * greatest(0, least(ay + ah, by_ + bh) - greatest(ay, by_)) / greatest(aw * ah + bw * bh - greatest(0, least(ax + aw, bx + bw) - greatest(ax, bx)) * greatest(0, least(ay + ah, by_ + bh) - greatest(ay, by_)), 1e-9)",
     ),
+    "zncc": (
+        "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE",
+        "(aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x) - aggregate(a, 0D, (s, x) -> s + x) * aggregate(b, 0D, (s, x) -> s + x) / size(a)) / nullif(sqrt((aggregate(a, 0D, (s, x) -> s + x * x) - power(aggregate(a, 0D, (s, x) -> s + x), 2) / size(a)) * (aggregate(b, 0D, (s, x) -> s + x * x) - power(aggregate(b, 0D, (s, x) -> s + x), 2) / size(b))), 0D)",
+    ),
     "gray": ("r DOUBLE, g DOUBLE, b DOUBLE", "DOUBLE", "(0.299D * r + 0.587D * g + 0.114D * b) / 255"),
 }
 
 
 def register_sql(spark: SparkSession) -> None:
-    """box_intersection, box_iou and gray as temporary functions of the session."""
+    """box_intersection, box_iou, zncc and gray as temporary functions of the session."""
     for name, (arguments, result, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {result} RETURN {body}")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilequarry.functions import geometry as G
 from tilequarry.functions import kernels as K
+from tilequarry.functions.registry import ENCODERS
 from tilequarry.operators import nms as N
 from tilequarry.operators import tail as T
 from tilequarry.operators import tilescan as S
@@ -91,3 +95,50 @@ def match_examples(tiles: DataFrame, positives: list[Box], negatives: list[Box],
     found = kept.join(passed, "id", "left_semi").select("id", "x", "y", "w", "h", "score")
     found = T.append_uncovered(N.written(found, "found"), as_boxes(positives), exclude_iou)
     return N.top(found, max_results) if max_results else found.orderBy(*N.rank_key())
+
+
+def match_retrieval(tiles: DataFrame, find: Callable[[np.ndarray], DataFrame], positives: list[Box], negatives: list[Box], *, side: int, encoder: str | None = None, exclude_iou: float = 0.3, nms_iou: float = 0.3, max_results: int = 500) -> DataFrame:
+    """Ranked matches of a search (find: a template to its uncapped matches) made for each positive apart; max_results 0: all.
+
+    The results are pooled and suppressed, and those near a negative go. Then, with an encoder, a result goes that resembles a
+    negative more than every positive; without one, the negatives are searched for too, and a result goes that overlaps
+    one of theirs with as high a score. Positives that no result covers are results with score 1.
+    """
+    spark = tiles.sparkSession
+    patches = crops(tiles, [*positives, *negatives], side)
+    good, bad = patches[: len(positives)], patches[len(positives) :]
+
+    def pooled(templates: list[np.ndarray], name: str) -> DataFrame:
+        every = None
+        for t in templates:
+            one = find(t).select("image_id", "x", "y", "w", "h", "score")
+            every = one if every is None else every.unionByName(one)
+        best = every.groupBy("image_id", "x", "y", "w", "h").agg(F.max("score").alias("score"))
+        return N.written(best.withColumn("id", F.xxhash64("image_id", "x", "y", "w", "h")), name)
+
+    kept = N.nms(pooled(good, "pooled"), nms_iou, by=("image_id",))
+    for box in negatives:
+        kept = kept.where(~G.excluded(G.box(), tuple(F.lit(v) for v in box), exclude_iou))
+    kept = N.written(kept, "pooled-kept")
+    if negatives and encoder is None:
+        kept = T.without_overlap(kept, pooled(bad, "negative-hits"), nms_iou, by_score=True)
+    elif negatives:
+        encode = ENCODERS[encoder]
+        unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        shared = spark.sparkContext.broadcast(tuple(unit(np.concatenate([encode(p[None]) for p in kind]).astype(float)) for kind in (good, bad)))  # the examples'
+
+        def compare(frames):
+            for frame in frames:
+                ids = []
+                for t in frame.itertuples(index=False):
+                    v = unit(encode(S.unpack(t.data, t.h, t.w, t.nc)[None]).astype(float))[0]
+                    if (shared.value[0] @ v).max() >= (shared.value[1] @ v).max():
+                        ids.append(t.id)
+                yield pd.DataFrame({"id": np.array(ids, dtype=np.int64)})
+
+        reach = kept.agg(F.greatest(F.max("w"), F.max("h"))).first()[0] or 8
+        passed = S.patches(tiles, kept.select("image_id", "id", "x", "y", "w", "h"), side, int(reach)).mapInPandas(compare, "id long")
+        kept = kept.join(passed, "id", "left_semi")
+    own = spark.createDataFrame([(-i - 1, *b, 1.0) for i, b in enumerate(positives)], "id long, x int, y int, w int, h int, score double")
+    found = T.append_uncovered(N.written(kept.select("id", "x", "y", "w", "h", "score"), "found"), own, nms_iou)
+    return N.top(found, max_results) if max_results else found.orderBy(*N.rank_key())

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilequarry.functions.kernels import resample
-from tilequarry.operators.tilescan import SCHEMA
+from tilequarry.operators.tilescan import SCHEMA, unpack
 
 #: The largest image, in bytes of pixels, that is read.
 MAX_IMAGE_BYTES = 200_000_000_000
@@ -67,6 +67,54 @@ def region(tiles: DataFrame, x: int, y: int, w: int, h: int, side: int) -> DataF
     return tiles.where(F.col("tx").between(x // side, (x + w - 1) // side) & F.col("ty").between(y // side, (y + h - 1) // side))
 
 
+#: The most pixels of a view that are brought to the driver.
+MAX_VIEW = 64_000_000
+
+
+def view(tiles: DataFrame, level: int, x: int, y: int, w: int, h: int, *, side: int, size: tuple[int, int]) -> np.ndarray:
+    """The pixels of a rectangle of a pyramid level, cut to the level; an empty array beyond it.
+
+    size: the image's height and width. Tiles are halved where they lie, (sum + 2) >> 2 of each 2 x 2 cell, and only their
+    part of the view is collected. Places that odd edges leave open are zero.
+    """
+    step = 1 << level
+    if side % step:
+        raise ValueError(f"level {level} splits the cells of tiles of {side}")
+    x0, y0, x1, y1 = max(0, x), max(0, y), min(size[1] // step, x + w), min(size[0] // step, y + h)
+    if x1 <= x0 or y1 <= y0:
+        return np.zeros((0, 0, 3), dtype=np.uint8)
+    if (x1 - x0) * (y1 - y0) > MAX_VIEW:
+        raise ValueError("the view is too large; take a higher level")
+
+    def halve(frames):
+        for frame in frames:
+            out = []
+            for t in frame.itertuples(index=False):
+                a = unpack(t.data, t.h, t.w, t.nc).astype(np.uint16)
+                for _ in range(level):
+                    a = a[: a.shape[0] // 2 * 2, : a.shape[1] // 2 * 2]
+                    a = (a[::2, ::2] + a[1::2, ::2] + a[::2, 1::2] + a[1::2, 1::2] + 2) >> 2
+                top, left = t.y0 // step, t.x0 // step
+                part = a[max(0, y0 - top) : max(0, y1 - top), max(0, x0 - left) : max(0, x1 - left)].astype(np.uint8)
+                if part.size:
+                    out.append((max(top, y0), max(left, x0), part.shape[0], part.shape[1], t.nc, np.ascontiguousarray(part).tobytes()))
+            yield pd.DataFrame(out, columns=["y", "x", "h", "w", "nc", "data"])
+
+    touched = region(tiles, x0 * step, y0 * step, (x1 - x0) * step, (y1 - y0) * step, side)
+    parts = touched.mapInPandas(halve, "y int, x int, h int, w int, nc int, data binary").collect()  # MAX_VIEW pixels at most
+    out = np.zeros((y1 - y0, x1 - x0, 3), dtype=np.uint8)
+    for p in parts:
+        own = unpack(p["data"], p["h"], p["w"], p["nc"])
+        out[p["y"] - y0 : p["y"] - y0 + p["h"], p["x"] - x0 : p["x"] - x0 + p["w"]] = own if own.ndim == 3 else own[..., None]
+    return out
+
+
+def fingerprint(tiles: DataFrame) -> DataFrame:
+    """image_id, fingerprint: a sum over the tiles' hashes, whatever their order; equal for equal pixels and tiling."""
+    one = F.xxhash64("ty", "tx", "h", "w", "nc", "data")
+    return tiles.groupBy("image_id").agg(F.hex(F.bit_xor(one)).alias("fingerprint"), F.count(F.lit(1)).alias("n_tiles"))
+
+
 def motif(side: int, seed: int) -> np.ndarray:
     """An asymmetric coloured square."""
     rng = np.random.default_rng(seed)
