@@ -6,12 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 from tilequarry.plans.registry import ORACLE_SQL
+from tilequarry.sources import images as I
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Generated scenes, which tests/test_search.py holds against planted truth.
-SLOW = {"sample_selftest", "pyramid_parity", "multi_example"}
-
 
 @pytest.fixture(scope="module")
 def duck():
@@ -42,7 +40,7 @@ def same(spark, duck, name):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, duck, name):
     same(spark, duck, name)
 
@@ -53,3 +51,21 @@ def test_every_sql_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_generated_samples(spark):
+    """Queries on generated samples against what was planted."""
+    run = lambda name: [tuple(r) for r in entry.queries()[name](spark, SF).collect()]
+    assert run("sample_selftest") == [(True, 7)]
+    assert run("pyramid_parity") == [(7, 7, 7)]
+    assert run("multi_example") == [(8, True)]
+
+
+def test_samples_by_pairs_and_windows(spark):
+    found = [(r["x"], r["y"], r["w"], r["h"], r["orientation"]) for r in entry.queries()["pair_search"](spark, SF).collect()]
+    assert found == [(500, 450, 180, 160, "MX")]
+    _, truth, _ = I.sample(spark, 1600, 1200)
+    best = entry.queries()["semantic_search"](spark, SF).orderBy("score", ascending=False).collect()
+    # Windows stand at every half template: two of the seven copies, far from all of them, score as low as background does.
+    on_copy = lambda r: any(abs(x - r["x"]) <= 32 and abs(y - r["y"]) <= 32 for x, y, _, _ in truth[1:])
+    assert [on_copy(r) for r in best] == [True] * 5 + [False] * (len(best) - 5)

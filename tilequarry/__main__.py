@@ -18,7 +18,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--height", type=int, default=1200)
     parser.add_argument("--n-targets", type=int, default=8)
     parser.add_argument("--seed", type=int, default=7)
-    parser.add_argument("--method", default="ncc", choices=["ncc", "ssd", "ccorr", "features", "fuzzy"])
+    parser.add_argument("--method", default="ncc", choices=["ncc", "ssd", "ccorr", "features", "fuzzy", "pairs", "semantic"])
     parser.add_argument("--side", type=int, default=512)
     parser.add_argument("--doctor", action="store_true", help="report versions as JSON")
     args = parser.parse_args(argv)
@@ -29,7 +29,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from pyspark.sql import SparkSession
 
-    from tilequarry.operators import keypoints, tilescan
+    from tilequarry.operators import keypoints, semantic, tilescan
     from tilequarry.plans.request import SearchParams, SearchRequest
     from tilequarry.sources import images
 
@@ -47,10 +47,15 @@ def main(argv: list[str] | None = None) -> int:
         parser.error("--image and --box, --generate-sample or --doctor")
     from tilequarry.operators.examples import crops
 
-    tiles = images.to_tiles(images.read_images(spark, args.image), args.side)
+    read = images.read_images(spark, args.image)
+    tiles = images.to_tiles(read, args.side)
     template = crops(tiles, [tuple(args.box)], args.side)[0]
     if args.method in ("features", "fuzzy"):
         found = keypoints.search(tiles, template, side=args.side, strict=args.method == "features", exclude_box=tuple(args.box))
+    elif args.method in ("pairs", "semantic"):
+        one = read.select("height", "width").first()
+        run = keypoints.pair_search if args.method == "pairs" else semantic.search
+        found = run(tiles, template, (one["height"], one["width"]), side=args.side, exclude_box=tuple(args.box))
     else:
         found = SearchRequest(template, SearchParams(method=args.method), exclude_box=tuple(args.box)).run(tiles, args.side)
     for row in found.toJSON().toLocalIterator():

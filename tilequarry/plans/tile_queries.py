@@ -12,12 +12,13 @@ from tilequarry.functions import features as V
 from tilequarry.functions import kernels as K
 from tilequarry.operators import examples as X
 from tilequarry.operators import keypoints as P
+from tilequarry.operators import semantic as E
 from tilequarry.operators.nms import LOCAL_CHECKPOINTS, written
 from tilequarry.plans import dense_queries as Q
 from tilequarry.plans.registry import query
 from tilequarry.plans.request import SearchParams, SearchRequest
 from tilequarry.sources import images as I
-from tilequarry.sources.derived import HEIGHT, SOURCE, WIDTH, raster, table
+from tilequarry.sources.derived import HEIGHT, RASTER_SQL, SOURCE, WIDTH, raster, table
 from tilequarry.streaming.requests import debounced_stream
 
 TILE = 32
@@ -43,7 +44,7 @@ def tile_ncc_fft(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "w", "h", F.round("score", 6).alias("score"))
 
 
-@query("sample_selftest", "SELECT true AS complete, 7::BIGINT AS n_found")
+@query("sample_selftest")
 def sample_selftest(spark, sf):
     """A generated image of 1600 x 1200 with eight copies of a motif: a search from one finds the seven others, and no more."""
     tiles, truth, own = I.sample(spark, 1600, 1200)
@@ -54,7 +55,7 @@ def sample_selftest(spark, sf):
     return pairs.agg((F.count_if(F.col("tx").isNull()) == 0).alias("complete"), F.count_distinct("tx", "ty").alias("n_found"))
 
 
-@query("pyramid_parity", "SELECT 7::BIGINT AS full, 7::BIGINT AS coarse, 7::BIGINT AS both_")
+@query("pyramid_parity")
 def pyramid_parity(spark, sf):
     """Coarse to fine finds what the full search finds."""
     tiles, truth, own = I.sample(spark, 1100, 1100, motif_side=96)
@@ -65,7 +66,7 @@ def pyramid_parity(spark, sf):
     return full.agg(F.count(F.lit(1)).alias("full")).join(coarse.agg(F.count(F.lit(1)).alias("coarse")), F.lit(True)).join(both.agg(F.count(F.lit(1)).alias("both_")), F.lit(True))
 
 
-@query("multi_example", "SELECT 8::BIGINT AS n, true AS exact")
+@query("multi_example")
 def multi_example(spark, sf):
     """Two positives, one a little off, and a negative: all eight copies, nothing else."""
     tiles, truth, _ = I.sample(spark, 1600, 1200)
@@ -102,13 +103,29 @@ def _keypoints(strict: bool):
     return run
 
 
+@query("semantic_search")
+def semantic_search(spark, sf):
+    """A generated sample searched by window embeddings from one of its eight copies."""
+    tiles, truth, own = I.sample(spark, 1600, 1200)
+    found = E.search(written(tiles, "sample"), own, (1200, 1600), side=512, exclude_box=truth[0])
+    return found.select("x", "y", "w", "h", F.round("score", 6).alias("score"))
+
+
+@query("pair_search")
+def pair_search(spark, sf):
+    """The scene searched by pairs of keypoints, which find copies of the same size: the mirrored one, not the turned one."""
+    scene, own, source = turned_scene()
+    found = P.pair_search(written(I.array_tiles(spark, scene, 256), "scene"), own, scene.shape[:2], side=256, orientations=("R0", "MX"), exclude_box=source)
+    return found.select("x", "y", "w", "h", "orientation", F.round("score", 3).alias("score"))
+
+
 query("keypoint_search")(_keypoints(True))
 query("fuzzy_search")(_keypoints(False))
 
 
-@query("image_roundtrip", "SELECT true AS same, 6144::BIGINT AS pixels")
+@query("image_roundtrip", f"WITH {RASTER_SQL} SELECT x, y, r, g, b FROM raster")
 def image_roundtrip(spark, sf):
-    """The derived raster written as a PNG file, read by Spark's image source and compared pixel by pixel."""
+    """The pixels of the derived raster, written as a PNG file and read back by Spark's image source."""
     pixels = raster(spark, sf).collect()  # WIDTH x HEIGHT of them
     a = np.zeros((HEIGHT, WIDTH, 3), dtype=np.uint8)
     for p in pixels:
@@ -118,9 +135,9 @@ def image_roundtrip(spark, sf):
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
     out.write(bytearray(I.png(a)))
     out.close()
-    back = I.to_tiles(I.read_images(spark, folder), 32).select("ty", "tx", "data")
-    there = I.array_tiles(spark, a, 32).select("ty", "tx", F.col("data").alias("own"), (F.col("h") * F.col("w")).alias("n"))
-    return there.join(back, ["ty", "tx"], "left").agg(F.every(F.coalesce(F.col("own") == F.col("data"), F.lit(False))).alias("same"), F.sum("n").alias("pixels"))
+    cells = I.to_tiles(I.read_images(spark, folder), 32).select("x0", "y0", "w", "data", F.explode(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1)).alias("i"))
+    byte = lambda k: F.conv(F.hex(F.substring("data", F.col("i") * 3 + (k + 1), F.lit(1))), 16, 10).cast("long")
+    return cells.select((F.col("x0") + F.col("i") % F.col("w")).cast("long").alias("x"), (F.col("y0") + F.floor(F.col("i") / F.col("w"))).cast("long").alias("y"), *[byte(k).alias(c) for k, c in enumerate("rgb")])
 
 
 @query("debounce_stream", "WITH g AS (SELECT user_id AS session, event_id AS request, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) SELECT session, request FROM g WHERE nxt IS NULL OR nxt - ts >= INTERVAL 2 HOUR")
