@@ -234,3 +234,41 @@ def test_zncc_in_sql(spark):
     a, b = np.random.default_rng(4).random((2, 50))
     got = spark.createDataFrame([(a.tolist(), b.tolist())], "a array<double>, b array<double>").selectExpr("zncc(a, b) AS s", "zncc(a, a) AS one").first()
     assert got["s"] == pytest.approx(np.corrcoef(a, b)[0, 1]) and got["one"] == pytest.approx(1)
+
+
+def test_raw_images_are_read_by_rows(spark, tmp_path):
+    a = np.random.default_rng(4).integers(0, 256, (150, 90, 3)).astype(np.uint8)
+    (tmp_path / "image.raw").write_bytes(a.tobytes())
+    tiles = I.read_raw(spark, f"file://{tmp_path}/image.raw", 90, side=64, image_id="image")
+    key = lambda r: (r["ty"], r["tx"])
+    assert sorted(map(tuple, tiles.collect())) == sorted(map(tuple, I.array_tiles(spark, a, 64).collect())) and len({key(r) for r in tiles.collect()}) == 6
+
+
+def test_soundness_of_transforms():
+    from tilequarry.functions import features as V
+
+    assert V.hull_area(np.array([[0, 0], [4, 0], [4, 3], [0, 3], [2, 1]], dtype=float)) == 12 and V.hull_area(np.array([[0, 0], [1, 1], [2, 2.0]])) == 0
+    np.testing.assert_allclose(V.sound_quad(np.array([[2.0, 0, 5], [0, 2, 7], [0, 0, 1]]), 10, 20), [[5, 7], [25, 7], [25, 47], [5, 47]])
+    assert V.sound_quad(np.array([[1.0, 0, 0], [0, 1, 0], [-0.15, 0, 1]]), 10, 20) is None  # beyond the horizon
+    assert V.sound_quad(np.array([[1.0, 0, 0], [0.99, 0.01, 0], [0, 0, 1]]), 100, 100) is None  # a sliver
+    assert V.sound_quad(np.eye(3) * [[20], [20], [1]], 10, 10) is None
+    m, e = np.array([[1.1, 0.2, 3], [-0.1, 0.9, 4], [0.001, 0.002, 1]]), 1e-6
+    at = lambda x, y: V.transform(m, np.array([[x, y]]))[0]
+    np.testing.assert_allclose(V.slope(m, 5, 6), np.column_stack(((at(5 + e, 6) - at(5 - e, 6)) / (2 * e), (at(5, 6 + e) - at(5, 6 - e)) / (2 * e))), atol=1e-6)
+    a = np.array([[0, 0, 0], [255, 20, 0]])
+    assert V.colour_likeness(a, a, [0.5, 0.25, 0.25]) == pytest.approx(1) and V.colour_likeness(a, 255 - a, [0.0, 0.0, 1.0]) == 0
+    assert V.colour_likeness(a[:0], a[:0], [1, 0, 0]) == 0
+
+
+def test_colours_lower_a_fuzzy_score(spark):
+    from tilequarry.operators import keypoints
+    from tilequarry.plans.tile_queries import turned_scene
+
+    scene_, own, source = turned_scene()
+    tinted = scene_.copy()
+    tinted[450:610, 500:680, 2] //= 4  # inverting it would leave the motif's even histogram as it is
+    tiles = I.array_tiles(spark, tinted, 512)
+    run = lambda **more: {r["orientation"]: r["score"] for r in keypoints.search(tiles, own, side=512, exclude_box=source, floor=0.3, **more).collect()}
+    gray, colour, first = run(), run(mode="rgb"), run(mode="rgb", weights=(1, 0, 0))
+    assert set(gray) == set(colour) == set(first) == {"R0", "MX"}
+    assert colour["R0"] / gray["R0"] > 0.95 and first["MX"] / gray["MX"] > 0.95 and colour["MX"] / gray["MX"] < 0.9

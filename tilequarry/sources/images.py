@@ -52,6 +52,50 @@ def to_tiles(images: DataFrame, side: int = 512, bgr: bool = True) -> DataFrame:
     return images.select("image_id", "height", "width", "nc", "data").mapInPandas(cut_up, SCHEMA)
 
 
+#: Rows of a raw image that a task cuts at a time.
+BAND = 64
+
+
+def read_raw(spark: SparkSession, path: str, width: int, nc: int = 3, side: int = 512, image_id: str | None = None) -> DataFrame:
+    """Tiles of an image of any size that is stored as rows of uint8 pixels without a header.
+
+    A row of pixels is a record: Hadoop splits the file, tasks read their rows alone and cut bands of BAND rows into strips, and
+    strips meet by tile. No task holds more than a band or a tile. A file that doesn't end with a whole row raises an error.
+    """
+    record = width * nc
+    formats = ("org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable")
+    rows = spark.sparkContext.newAPIHadoopFile(path, *formats, conf={"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(record)})
+    name = image_id or path
+
+    def strips(first, band):
+        a = np.frombuffer(b"".join(band), dtype=np.uint8).reshape(len(band), width, nc)
+        for x in range(0, width, side):
+            part = np.ascontiguousarray(a[:, x : x + side])
+            yield first // side, x // side, first, len(band), part.shape[1], bytearray(part.tobytes())
+
+    def cut(records):
+        first, band = 0, []
+        for y, data in records:
+            if band and (y != first + len(band) or y % side == 0 or len(band) == BAND):
+                yield from strips(first, band)
+                band = []
+            if not band:
+                first = y
+            band.append(bytes(data))
+        if band:
+            yield from strips(first, band)
+
+    parts = spark.createDataFrame(rows.mapPartitions(cut), "ty int, tx int, y int, n int, w int, data binary")
+    met = parts.groupBy("ty", "tx").agg(F.array_sort(F.collect_list(F.struct("y", "n", "w", "data"))).alias("strips"))  # a tile's
+
+    def join(frames):
+        for frame in frames:
+            out = [(name, t.ty, t.tx, t.ty * side, t.tx * side, sum(s["n"] for s in t.strips), t.strips[0]["w"], nc, b"".join(bytes(s["data"]) for s in t.strips)) for t in frame.itertuples(index=False)]
+            yield pd.DataFrame(out, columns=["image_id", "ty", "tx", "y0", "x0", "h", "w", "nc", "data"])
+
+    return met.mapInPandas(join, SCHEMA)
+
+
 def array_tiles(spark: SparkSession, a: np.ndarray, side: int = 512, image_id: str = "image") -> DataFrame:
     """Tiles of an array on the driver."""
     rows = []
