@@ -272,3 +272,15 @@ def test_colours_lower_a_fuzzy_score(spark):
     gray, colour, first = run(), run(mode="rgb"), run(mode="rgb", weights=(1, 0, 0))
     assert set(gray) == set(colour) == set(first) == {"R0", "MX"}
     assert colour["R0"] / gray["R0"] > 0.95 and first["MX"] / gray["MX"] > 0.95 and colour["MX"] / gray["MX"] < 0.9
+
+
+def test_match_template_in_sql(spark):
+    from tilequarry.functions.registry import register_sql
+
+    register_sql(spark)
+    a, own, places = scene()
+    I.array_tiles(spark, a, 512).createOrReplaceTempView("whole")
+    spark.createDataFrame([(bytearray(own.tobytes()), 24, 28)], "data binary, h int, w int").createOrReplaceTempView("pattern")
+    found = spark.sql("SELECT m.* FROM whole t CROSS JOIN pattern p, LATERAL match_template(t.data, t.h, t.w, t.nc, p.data, p.h, p.w, 'ncc', 0.97D) m").collect()
+    assert {(r["x"], r["y"]) for r in found} == set(places) and all(r["score"] > 0.99 for r in found)
+    assert spark.sql("SELECT m.* FROM pattern p, LATERAL match_template(p.data, 2, 2, 3, p.data, p.h, p.w, 'ncc', 0.5D) m").count() == 0

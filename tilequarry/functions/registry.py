@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
 
-from tilequarry.functions import features
+from tilequarry.functions import features, kernels
 
 Encoder = Callable[[np.ndarray], np.ndarray]
 #: A detector takes a gray plane of 0..1 to its points (n rows of x, y, size, angle) and their descriptors (n rows).
@@ -62,7 +63,21 @@ SQL_FUNCTIONS = {
 }
 
 
+
+class MatchTemplate:
+    """Local maxima at or above floor of a template's scores over one image or tile: x, y, score. Smaller images have none."""
+
+    def eval(self, data, h: int, w: int, nc: int, template, th: int, tw: int, method: str, floor: float):
+        if data is None or template is None or h < th or w < tw:
+            return
+        planes = [kernels.luminance(np.frombuffer(bytes(b), dtype=np.uint8).reshape((rows, columns, nc) if nc > 1 else (rows, columns))) for b, rows, columns in ((data, h, w), (template, th, tw))]
+        scores = kernels.score_map(planes[:1], planes[1:], [1.0], method)
+        for y, x in zip(*kernels.peaks(scores, th, tw, floor), strict=True):
+            yield int(x), int(y), float(scores[y, x])
+
+
 def register_sql(spark: SparkSession) -> None:
-    """box_intersection, box_iou, zncc and gray as temporary functions of the session."""
+    """box_intersection, box_iou, zncc and gray as temporary functions of the session, and the table function match_template."""
+    spark.udtf.register("match_template", udtf(MatchTemplate, returnType="x int, y int, score double"))
     for name, (arguments, result, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {result} RETURN {body}")
