@@ -83,13 +83,13 @@ def format_turns(rows: DataFrame, *, learned: tuple[str, ...] = LEARNED) -> Data
     return blocks.select("conv_id", whole.alias("formatted"), F.flatten(F.transform("blocks", spans)).alias("loss"))
 
 
-def _blocks(formatted: Column) -> Column:
-    parts = F.split(formatted, f"\\Q{END}\\E")
-    return F.slice(parts, 1, F.size(parts) - 1)
+def read(formatted: DataFrame) -> DataFrame:
+    """format_turns()'s rows with blocks, turns array<struct<role, text>> and learned array<string>: the texts under the mask, unescaped.
 
-
-def read_turns(formatted: Column) -> Column:
-    """array<struct<role, text>>: every turn, from a formatted conversation."""
+    blocks is a column that several others use, so that it is made once a row and not once a turn.
+    """
+    parts = F.split("formatted", f"\\Q{END}\\E")
+    blocks = formatted.select("*", F.slice(parts, 1, F.size(parts) - 1).alias("blocks"))
 
     def turns(block: Column) -> Column:
         head = F.locate("\n", block)
@@ -97,27 +97,22 @@ def read_turns(formatted: Column) -> Column:
         texts = F.split(F.substring(block, head + 1, F.length(block)), f"\\Q{BETWEEN}\\E")
         return F.transform(texts, lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
-    return F.flatten(F.transform(_blocks(formatted), turns))
-
-
-def read_loss(formatted: Column, loss: Column) -> Column:
-    """array<string>: the texts under the mask, unescaped."""
-    blocks = _blocks(formatted)
-    return F.transform(loss, lambda s: unescape(F.substring(F.element_at(blocks, s["block"] + 1), s["start"] + 1, s["chars"])))
+    masked = F.transform("loss", lambda s: unescape(F.substring(F.element_at("blocks", s["block"] + 1), s["start"] + 1, s["chars"])))
+    return blocks.select("*", F.flatten(F.transform("blocks", turns)).alias("turns"), masked.alias("learned"))
 
 
 def digests(rows: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_blocks: all read back from the formatted text."""
-    read = format_turns(rows).select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), F.array_join(read_loss(F.col("formatted"), F.col("loss")), "").alias("learned"))
+    back = read(format_turns(rows)).withColumn("learned", F.array_join("learned", ""))
     listed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.select(
+    return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(listed, 256).alias("turns_sha256"),
         F.length("learned").cast("long").alias("loss_chars"),
         F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
-        F.size(_blocks(F.col("formatted"))).cast("long").alias("n_blocks"),
+        F.size("blocks").cast("long").alias("n_blocks"),
     )
 
 
