@@ -5,7 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tilequarry.operators import examples as X
+from tilequarry.operators import semantic as E
+from tilequarry.operators.nms import written
 from tilequarry.plans.registry import ORACLE_SQL
+from tilequarry.plans.request import SearchParams, SearchRequest
 from tilequarry.sources import images as I
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -54,18 +58,19 @@ def test_entry(spark):
 
 
 def test_generated_samples(spark):
-    """Queries on generated samples against what was planted."""
-    run = lambda name: [tuple(r) for r in entry.queries()[name](spark, SF).collect()]
-    assert run("sample_selftest") == [(True, 7)]
-    assert run("pyramid_parity") == [(7, 7, 7)]
-    assert run("multi_example") == [(8, True)]
-
-
-def test_samples_by_pairs_and_windows(spark):
-    found = [(r["x"], r["y"], r["w"], r["h"], r["orientation"]) for r in entry.queries()["pair_search"](spark, SF).collect()]
-    assert found == [(500, 450, 180, 160, "MX")]
-    _, truth, _ = I.sample(spark, 1600, 1200)
-    best = entry.queries()["semantic_search"](spark, SF).orderBy("score", ascending=False).collect()
-    # Windows stand at every half template: two of the seven copies, far from all of them, score as low as background does.
-    on_copy = lambda r: any(abs(x - r["x"]) <= 32 and abs(y - r["y"]) <= 32 for x, y, _, _ in truth[1:])
-    assert [on_copy(r) for r in best] == [True] * 5 + [False] * (len(best) - 5)
+    """Searches of a generated image of 1600 x 1200, against what was planted."""
+    tiles, truth, own = I.sample(spark, 1600, 1200)
+    tiles = written(tiles, "sample")
+    found = SearchRequest(own, SearchParams(threshold_floor=0.85), exclude_box=truth[0]).run(tiles, 512).collect()
+    assert len(found) == 7 and all(any(abs(r.x - x) <= 8 and abs(r.y - y) <= 8 for r in found) for x, y, _, _ in truth[1:])
+    (x, y, w, h) = truth[1]
+    found = X.match_examples(tiles, [truth[0], (x + 2, y - 1, w, h)], [(300, 300, w, h)], side=512).collect()
+    assert sorted((r.x, r.y, r.w, r.h) for r in found) == sorted(truth)
+
+
+def test_windows_of_a_finer_grid_find_every_copy(spark):
+    """At every half template two of seven copies score as low as background; a grid of eighths finds all, and nothing else."""
+    tiles, truth, own = I.sample(spark, 1600, 1200)
+    best = E.search(written(tiles, "sample"), own, (1200, 1600), side=512, floor=0.9, margin=0.2, steps=8, exclude_box=truth[0]).collect()
+    on_copy = [next((i for i, (x, y, _, _) in enumerate(truth) if abs(x - r.x) <= 16 and abs(y - r.y) <= 16), None) for r in best]
+    assert set(on_copy) == set(range(1, 8))

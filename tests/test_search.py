@@ -5,6 +5,7 @@ import json
 import numpy as np
 import pytest
 
+from tilequarry.functions import features as V
 from tilequarry.functions import kernels as K
 from tilequarry.operators import memory as M
 from tilequarry.plans.request import SearchParams, SearchRequest
@@ -122,9 +123,26 @@ def test_semantic_windows(spark):
         semantic.scan(I.array_tiles(spark, a, 64), a[:32, :32], (96, 192), side=64, encoder="layout", scales=(0.0,))
 
 
+def turned_scene() -> tuple[np.ndarray, np.ndarray, tuple[int, int, int, int]]:
+    """A scene with a motif, an upside-down mirrored copy, and one turned by 35 degrees at 1.15 times its size."""
+    rng = np.random.default_rng(3)
+    scene = I.background(0, 0, 900, 700, 3)
+    gray = K.resample(rng.integers(0, 256, (16, 18)).astype(float), 160, 180)
+    own = np.clip(np.stack([gray] * 3, axis=-1), 0, 255).astype(np.uint8)
+    scene[60:220, 80:260] = own
+    scene[450:610, 500:680] = own[::-1]
+    turn, size = np.radians(35), 1.15
+    ys, xs = np.mgrid[0:700, 0:900]
+    u = ((xs - 640) * np.cos(turn) + (ys - 230) * np.sin(turn)) / size + 90
+    v = (-(xs - 640) * np.sin(turn) + (ys - 230) * np.cos(turn)) / size + 80
+    inside = (u >= 0) & (u < 179) & (v >= 0) & (v < 159)
+    for c in range(3):
+        scene[..., c][inside] = V._sample(own[..., c].astype(float), v[inside], u[inside])
+    return scene, own, (80, 60, 180, 160)
+
+
 def test_keypoints_find_turned_copies(spark):
     from tilequarry.operators import keypoints
-    from tilequarry.plans.tile_queries import turned_scene
 
     scene_, own, source = turned_scene()
     for strict in (False, True):
@@ -206,7 +224,7 @@ def test_pair_search(spark):
     from tilequarry.operators.keypoints import pair_search
 
     a, own = planted()
-    found = pair_search(I.array_tiles(spark, a, 256), own, (480, 640), side=256, exclude_box=(20, 30, 140, 120)).collect()
+    found = pair_search(I.array_tiles(spark, a, 256), own, side=256, exclude_box=(20, 30, 140, 120)).collect()
     places = sorted((r["x"], r["y"]) for r in found)
     assert len(places) == 2 and all(abs(x - u) <= 2 and abs(y - v) <= 2 for (x, y), (u, v) in zip(places, [(180, 310), (330, 60)], strict=True))
     assert min(r["score"] for r in found) >= 0.7
@@ -262,7 +280,6 @@ def test_soundness_of_transforms():
 
 def test_colours_lower_a_fuzzy_score(spark):
     from tilequarry.operators import keypoints
-    from tilequarry.plans.tile_queries import turned_scene
 
     scene_, own, source = turned_scene()
     tinted = scene_.copy()

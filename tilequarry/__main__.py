@@ -52,10 +52,11 @@ def main(argv: list[str] | None = None) -> int:
     template = crops(tiles, [tuple(args.box)], args.side)[0]
     if args.method in ("features", "fuzzy"):
         found = keypoints.search(tiles, template, side=args.side, strict=args.method == "features", exclude_box=tuple(args.box))
-    elif args.method in ("pairs", "semantic"):
+    elif args.method == "pairs":
+        found = keypoints.pair_search(tiles, template, side=args.side, exclude_box=tuple(args.box))
+    elif args.method == "semantic":
         one = read.select("height", "width").first()
-        run = keypoints.pair_search if args.method == "pairs" else semantic.search
-        found = run(tiles, template, (one["height"], one["width"]), side=args.side, exclude_box=tuple(args.box))
+        found = semantic.search(tiles, template, (one["height"], one["width"]), side=args.side, exclude_box=tuple(args.box))
     else:
         found = SearchRequest(template, SearchParams(method=args.method), exclude_box=tuple(args.box)).run(tiles, args.side)
     for row in found.toJSON().toLocalIterator():

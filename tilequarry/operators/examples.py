@@ -15,17 +15,22 @@ from tilequarry.functions.registry import ENCODERS
 from tilequarry.operators import nms as N
 from tilequarry.operators import tail as T
 from tilequarry.operators import tilescan as S
+from tilequarry.operators import tilestore as TS
 
 Box = tuple[int, int, int, int]
 
 
-def crops(tiles: DataFrame, boxes: list[Box], side: int, pad: int = 0) -> list[np.ndarray]:
+def crops(tiles: DataFrame | TS.TileStore, boxes: list[Box], side: int, pad: int = 0) -> list[np.ndarray]:
     """The pixels of a few boxes, with a margin."""
     rows = [("", i, x - pad, y - pad, w + 2 * pad, h + 2 * pad) for i, (x, y, w, h) in enumerate(boxes)]
-    ids = tiles.select("image_id").limit(1).first()
-    frame = tiles.sparkSession.createDataFrame([(ids[0], *r[1:]) for r in rows], "image_id string, id long, x int, y int, w int, h int")
+    keys = TS.keys_of(tiles)
+    ids = keys.select("image_id").distinct().limit(2).collect()
+    if len(ids) != 1:
+        raise ValueError("examples are boxes of one image")
+    ids = ids[0]
+    frame = keys.sparkSession.createDataFrame([(ids[0], *r[1:]) for r in rows], "image_id string, id long, x int, y int, w int, h int")
     reach = max(max(r[4:]) for r in rows)
-    found = {r["id"]: S.unpack(r["data"], r["h"], r["w"], r["nc"]) for r in S.patches(tiles, frame, side, reach).collect()}  # the examples
+    found = {r["id"]: S.unpack(r["data"], r["h"], r["w"], r["nc"]) for r in TS.cut(tiles, frame, side, reach).collect()}  # the examples
     return [found[i] for i in range(len(boxes))]
 
 
@@ -37,7 +42,7 @@ def snap(reference: np.ndarray, wide: np.ndarray, pad: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def prepare(tiles: DataFrame, positives: list[Box], negatives: list[Box], side: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def prepare(tiles: DataFrame | TS.TileStore, positives: list[Box], negatives: list[Box], side: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Mean of the positives (each moved to fit the first one) and the patches of both kinds in its size."""
     _, _, w, h = positives[0]
     pad = max(2, min(w, h) // 4)
@@ -63,15 +68,15 @@ def without_examples(examples: DataFrame, removed: DataFrame) -> DataFrame:
     return left.join(alive, "selection", "left_semi").withColumn("n", renumbered)
 
 
-def match_examples(tiles: DataFrame, positives: list[Box], negatives: list[Box], *, side: int, floor: float = 0.5, nms_iou: float = 0.3, exclude_iou: float = 0.3, max_results: int = 500) -> DataFrame:
+def match_examples(tiles: DataFrame | TS.TileStore, positives: list[Box], negatives: list[Box], *, side: int, floor: float = 0.5, nms_iou: float = 0.3, exclude_iou: float = 0.3, max_results: int = 500) -> DataFrame:
     """Ranked matches of a search by examples; max_results 0: all of them.
 
     A candidate stays if it overlaps no negative and some positive fits it at least as well as every negative. Positives
     that no result covers are results with score 1.
     """
-    spark = tiles.sparkSession
+    spark = TS.keys_of(tiles).sparkSession
     mean, good, bad = prepare(tiles, positives, negatives, side)
-    found = S.search(tiles, S.prepare(mean), side=side, floor=floor).withColumn("id", F.xxhash64("image_id", "x", "y", "w", "h")).dropDuplicates(["id"])
+    found = TS.hits(tiles, S.prepare(mean), side=side, floor=floor).withColumn("id", F.xxhash64("image_id", "x", "y", "w", "h")).dropDuplicates(["id"])
     kept = N.nms(N.written(found, "candidates"), nms_iou, by=("image_id",))
     as_boxes = lambda boxes: spark.createDataFrame([(-i - 1, *b, 1.0) for i, b in enumerate(boxes)], "id long, x int, y int, w int, h int, score double")
     if negatives:
@@ -91,20 +96,20 @@ def match_examples(tiles: DataFrame, positives: list[Box], negatives: list[Box],
 
     h, w = mean.shape
     kept = N.written(kept, "verified")
-    passed = S.patches(tiles, kept.select("image_id", "id", "x", "y", "w", "h"), side, max(h, w)).mapInPandas(verify, "id long")
+    passed = TS.cut(tiles, kept.select("image_id", "id", "x", "y", "w", "h"), side, max(h, w)).mapInPandas(verify, "id long")
     found = kept.join(passed, "id", "left_semi").select("id", "x", "y", "w", "h", "score")
     found = T.append_uncovered(N.written(found, "found"), as_boxes(positives), exclude_iou)
     return N.top(found, max_results) if max_results else found.orderBy(*N.rank_key())
 
 
-def match_retrieval(tiles: DataFrame, find: Callable[[np.ndarray], DataFrame], positives: list[Box], negatives: list[Box], *, side: int, encoder: str | None = None, exclude_iou: float = 0.3, nms_iou: float = 0.3, max_results: int = 500) -> DataFrame:
+def match_retrieval(tiles: DataFrame | TS.TileStore, find: Callable[[np.ndarray], DataFrame], positives: list[Box], negatives: list[Box], *, side: int, encoder: str | None = None, exclude_iou: float = 0.3, nms_iou: float = 0.3, max_results: int = 500) -> DataFrame:
     """Ranked matches of a search (find: a template to its uncapped matches) made for each positive apart; max_results 0: all.
 
     The results are pooled and suppressed, and those near a negative go. Then, with an encoder, a result goes that resembles a
     negative more than every positive; without one, the negatives are searched for too, and a result goes that overlaps
     one of theirs with as high a score. Positives that no result covers are results with score 1.
     """
-    spark = tiles.sparkSession
+    spark = TS.keys_of(tiles).sparkSession
     patches = crops(tiles, [*positives, *negatives], side)
     good, bad = patches[: len(positives)], patches[len(positives) :]
 
@@ -137,7 +142,7 @@ def match_retrieval(tiles: DataFrame, find: Callable[[np.ndarray], DataFrame], p
                 yield pd.DataFrame({"id": np.array(ids, dtype=np.int64)})
 
         reach = kept.agg(F.greatest(F.max("w"), F.max("h"))).first()[0] or 8
-        passed = S.patches(tiles, kept.select("image_id", "id", "x", "y", "w", "h"), side, int(reach)).mapInPandas(compare, "id long")
+        passed = TS.cut(tiles, kept.select("image_id", "id", "x", "y", "w", "h"), side, int(reach)).mapInPandas(compare, "id long")
         kept = kept.join(passed, "id", "left_semi")
     own = spark.createDataFrame([(-i - 1, *b, 1.0) for i, b in enumerate(positives)], "id long, x int, y int, w int, h int, score double")
     found = T.append_uncovered(N.written(kept.select("id", "x", "y", "w", "h", "score"), "found"), own, nms_iou)

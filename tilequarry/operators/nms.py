@@ -19,19 +19,24 @@ from tilequarry.functions.geometry import iou
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the session's checkpoint folder; it goes with the driver's process.
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the session's checkpoint folder; what is written there goes with the driver's process.
 
     LOCAL_CHECKPOINTS is used on one machine only.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not re.match(r"local($|\[)", spark.sparkContext.master):
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    where = f"{(folder or LOCAL_CHECKPOINTS).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(where)
+    where = f"{(shared or LOCAL_CHECKPOINTS).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, where)
-    return spark.read.schema(df.schema).parquet(where)
+    return where
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the session's checkpoint folder."""
+    where = folder(df.sparkSession, name)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
 def _remove(spark: SparkSession, where: str) -> None:

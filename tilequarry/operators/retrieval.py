@@ -88,13 +88,13 @@ def top_proposals(proposals: DataFrame, k: int = 3000) -> DataFrame:
     return proposals.orderBy(F.col("votes").desc(), "cx", "cy", "orientation").limit(k)
 
 
-def near_points(proposals: DataFrame, points: DataFrame, radius: int) -> DataFrame:
-    """proposals (cx, cy) with the points (x, y) that lie less than `radius` off on both axes, by a grid join."""
+def near_points(proposals: DataFrame, points: DataFrame, radius: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """proposals (cx, cy) with the points (x, y) of the same `by` values that lie less than `radius` off on both axes, by a grid join."""
     near = F.explode(F.array(*[F.struct((F.floor(F.col("cx") / radius) + i).alias("gx"), (F.floor(F.col("cy") / radius) + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     a = proposals.withColumn("g__", near).withColumns({"gx__": F.col("g__.gx"), "gy__": F.col("g__.gy")}).drop("g__")
     b = points.withColumns({"gx__": F.floor(F.col("x") / radius), "gy__": F.floor(F.col("y") / radius)})
     inside = (F.abs(F.col("x") - F.col("cx")) < radius) & (F.abs(F.col("y") - F.col("cy")) < radius)
-    return a.join(b, ["gx__", "gy__"]).where(inside).drop("gx__", "gy__")
+    return a.join(b, [*by, "gx__", "gy__"]).where(inside).drop("gx__", "gy__")
 
 
 def spread_evenly(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
@@ -106,46 +106,46 @@ def spread_evenly(rows: DataFrame, by: list[str], order: list[str], k: int) -> D
     return ranked.where(kept).drop("r__", "of__")
 
 
-def _within(centres: DataFrame, points: DataFrame, radius: int, k: int, carry: tuple[str, ...]) -> DataFrame:
+def _within(centres: DataFrame, points: DataFrame, radius: int, k: int, carry: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """i, j, xi, yi, dx, dy, the carried columns with suffixes _i and _j, rank: of each centre its k nearest points."""
     near = F.explode(F.array(*[F.struct((F.floor(F.col("x") / radius) + i).alias("cx"), (F.floor(F.col("y") / radius) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     mine, theirs = [F.col(c).alias(f"{c}_i") for c in carry], [F.col(c).alias(f"{c}_j") for c in carry]
-    a = centres.select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), *mine, near.alias("c")).select("i", "xi", "yi", *[f"{c}_i" for c in carry], "c.cx", "c.cy")
-    b = points.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), *theirs, F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))
+    a = centres.select(*by, F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), *mine, near.alias("c")).select(*by, "i", "xi", "yi", *[f"{c}_i" for c in carry], "c.cx", "c.cy")
+    b = points.select(*by, F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), *theirs, F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))
     dx, dy = F.col("xj") - F.col("xi"), F.col("yj") - F.col("yi")
-    pairs = a.join(b, ["cx", "cy"]).where((F.col("i") != F.col("j")) & (dx * dx + dy * dy <= radius * radius))
-    pairs = pairs.select("i", "j", "xi", "yi", dx.alias("dx"), dy.alias("dy"), *[f"{c}_{s}" for s in "ij" for c in carry])
+    pairs = a.join(b, [*by, "cx", "cy"]).where((F.col("i") != F.col("j")) & (dx * dx + dy * dy <= radius * radius))
+    pairs = pairs.select(*by, "i", "j", "xi", "yi", dx.alias("dx"), dy.alias("dy"), *[f"{c}_{s}" for s in "ij" for c in carry])
     rank = F.row_number().over(Window.partitionBy("i").orderBy(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"), "j"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def neighbour_pairs(points: DataFrame, radius: int, k: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """i, j, xi, yi, dx, dy: of each point (id, x, y) its k nearest others within the radius, by grid joins.
+def neighbour_pairs(points: DataFrame, radius: int, k: int, carry: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """i, j, xi, yi, dx, dy: of each point (id, x, y) its k nearest others of the same `by` values within the radius, by grid joins.
 
     Points that have k others within a third of the radius are done with these; only the rest search the whole of it.
     """
     close = max(1, radius // 3)
-    found = written(_within(points, points, close, k, carry), "neighbours")
+    found = written(_within(points, points, close, k, carry, by), "neighbours")
     done = written(found.where(F.col("rank") == k).select(F.col("i").alias("done")), "neighbours-done")
     rest = points.join(done, points["id"] == done["done"], "left_anti")
     first = found.join(done, found["i"] == done["done"], "left_semi")
-    return first.unionByName(_within(rest, points, radius, k, carry)).drop("rank")
+    return first.unionByName(_within(rest, points, radius, k, carry, by)).drop("rank")
 
 
-def pair_votes(template: DataFrame, image: DataFrame, radius: int, k: int, quantum: int, bin_side: int, floor: int) -> DataFrame:
-    """ox, oy, votes, score: places where template pairs recur in the image.
+def pair_votes(template: DataFrame, image: DataFrame, radius: int, k: int, quantum: int, bin_side: int, floor: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """ox, oy, votes, score, by columns: places where template pairs recur in the image (by: columns of the image's points that tell images apart).
 
     Both tables: id, word, x, y. A pair is the words of two neighbours and their quantised offset; it votes for the offset of
     the image's point from the template's.
     """
 
-    def hashed(points: DataFrame, name: str) -> DataFrame:
+    def hashed(points: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
         q = lambda c: F.rint(F.col(c) / quantum).cast("long")
-        pairs = neighbour_pairs(points, radius, k, ("word",))
-        return pairs.select(F.col("word_i").alias("wi"), F.col("word_j").alias("wj"), q("dx").alias("qx"), q("dy").alias("qy"), F.col("xi").alias(f"{name}x"), F.col("yi").alias(f"{name}y"))
+        pairs = neighbour_pairs(points, radius, k, ("word",), by)
+        return pairs.select(*by, F.col("word_i").alias("wi"), F.col("word_j").alias("wj"), q("dx").alias("qx"), q("dy").alias("qy"), F.col("xi").alias(f"{name}x"), F.col("yi").alias(f"{name}y"))
 
-    joined = hashed(image, "p").join(hashed(template, "t"), ["wi", "wj", "qx", "qy"])
+    joined = hashed(image, "p", by).join(hashed(template, "t"), ["wi", "wj", "qx", "qy"])
     ox, oy = F.col("px") - F.col("tx"), F.col("py") - F.col("ty")
-    votes = joined.select(ox.alias("ox"), oy.alias("oy")).groupBy(F.rint(F.col("ox") / bin_side).cast("long").alias("bx"), F.rint(F.col("oy") / bin_side).cast("long").alias("by"))
+    votes = joined.select(*by, ox.alias("ox"), oy.alias("oy")).groupBy(*by, F.rint(F.col("ox") / bin_side).cast("long").alias("bx"), F.rint(F.col("oy") / bin_side).cast("long").alias("by"))
     found = votes.agg(F.count(F.lit(1)).alias("votes"), F.median("ox").alias("ox"), F.median("oy").alias("oy")).where(F.col("votes") >= floor)
-    return found.select("ox", "oy", "votes", F.least(F.lit(1.0), F.col("votes") / (2.0 * floor)).alias("score"))
+    return found.select(*by, "ox", "oy", "votes", F.least(F.lit(1.0), F.col("votes") / (2.0 * floor)).alias("score"))

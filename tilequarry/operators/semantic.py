@@ -12,6 +12,7 @@ from tilequarry.functions import kernels as K
 from tilequarry.functions.registry import ENCODERS
 from tilequarry.operators import nms as N
 from tilequarry.operators import tilescan as S
+from tilequarry.operators import tilestore as T
 
 #: What masked pixels of a template become.
 MASKED = (124, 116, 104)
@@ -40,34 +41,31 @@ def _score(windows: np.ndarray, encode, shared) -> list[tuple[float, str]]:
     return [(float(c), shared[k][0]) for c, k in zip(cos[np.arange(len(v)), best], best, strict=True)]
 
 
-def scan(tiles: DataFrame, template: np.ndarray, size: tuple[int, int], *, side: int, encoder: str, scales=(1.0,), orientations=("R0",), floor: float = 0.5, mask: np.ndarray | None = None) -> DataFrame:
-    """FOUND rows of grid windows at or above the floor. size: the image's height and width."""
+def scan(tiles: DataFrame | T.TileStore, template: np.ndarray, size: tuple[int, int], *, side: int, encoder: str, scales=(1.0,), orientations=("R0",), floor: float = 0.5, mask: np.ndarray | None = None, steps: int = 2) -> DataFrame:
+    """FOUND rows of grid windows at or above the floor. size: the image's height and width. steps: windows start that many times a window's side."""
     if not all(np.isfinite(s) and s > 0 for s in scales):
         raise ValueError("scales must be finite and positive")
     th, tw = template.shape[:2]
     shapes = sorted({(max(8, round(th * s)), max(8, round(tw * s))) for s in scales} | {(max(8, round(tw * s)), max(8, round(th * s))) for s in scales if any(o in G.TURNED for o in orientations)})
-    grids = {(h, w): (starts(size[0], h, h // 2), starts(size[1], w, w // 2)) for h, w in shapes}
+    grids = {(h, w): (starts(size[0], h, h // steps), starts(size[1], w, w // steps)) for h, w in shapes}
     shared, encode = queries(template, encoder, orientations, mask), ENCODERS[encoder]
 
-    def run(frames):
-        for frame in frames:
-            out = []
-            for t in frame.itertuples(index=False):
-                pixels, top, left = S.assemble(t.pieces)
-                for (h, w), (ys, xs) in grids.items():
-                    places = [(y, x) for y in ys if t.y0 <= y < t.y0 + t.h for x in xs if t.x0 <= x < t.x0 + t.w]
-                    for at in range(0, len(places), 256):
-                        part = places[at : at + 256]
-                        scored = _score(np.stack([pixels[y - top : y - top + h, x - left : x - left + w] for y, x in part]), encode, shared)
-                        out += [(t.image_id, x, y, w, h, s, float(np.sqrt(w * h / (tw * th))), o) for (y, x), (s, o) in zip(part, scored, strict=True) if s >= floor]
-            yield pd.DataFrame(out, columns=["image_id", "x", "y", "w", "h", "score", "scale", "orientation"])
-
-    return S.with_halo(tiles, max(max(s) for s in shapes), side).mapInPandas(run, FOUND)
-
-
-def search(tiles: DataFrame, template: np.ndarray, size: tuple[int, int], *, side: int, encoder: str = "layout", scales=(1.0,), orientations=("R0",), floor: float = 0.5, exclude_box=None, exclude_iou: float = 0.3, nms_iou: float = 0.3, max_results: int = 500, mask: np.ndarray | None = None) -> DataFrame:
-    """Ranked matches: grid scan, exclusion, suppression, the best few moved by a quarter window, suppression, top."""
-    found = scan(tiles, template, size, side=side, encoder=encoder, scales=scales, orientations=orientations, floor=floor, mask=mask)
+    def run(t, pixels, top, left):
+        out = []
+        for (h, w), (ys, xs) in grids.items():
+            places = [(y, x) for y in ys if t.y0 <= y < t.y0 + t.h for x in xs if t.x0 <= x < t.x0 + t.w]
+            for at in range(0, len(places), 256):
+                part = places[at : at + 256]
+                scored = _score(np.stack([pixels[y - top : y - top + h, x - left : x - left + w] for y, x in part]), encode, shared)
+                out += [(t.image_id, x, y, w, h, s, float(np.sqrt(w * h / (tw * th))), o) for (y, x), (s, o) in zip(part, scored, strict=True) if s >= floor]
+        return pd.DataFrame(out, columns=["image_id", "x", "y", "w", "h", "score", "scale", "orientation"])
+
+    return T.each(tiles, run, FOUND, reach=max(max(s) for s in shapes), side=side)
+
+
+def search(tiles: DataFrame | T.TileStore, template: np.ndarray, size: tuple[int, int], *, side: int, encoder: str = "layout", scales=(1.0,), orientations=("R0",), floor: float = 0.5, exclude_box=None, exclude_iou: float = 0.3, nms_iou: float = 0.3, max_results: int = 500, mask: np.ndarray | None = None, steps: int = 2, margin: float = 0.0) -> DataFrame:
+    """Ranked matches: grid scan (down to floor - margin), exclusion, suppression, the best few moved by half a step of the grid, suppression, top."""
+    found = scan(tiles, template, size, side=side, encoder=encoder, scales=scales, orientations=orientations, floor=max(0.0, floor - margin), mask=mask, steps=steps)
     ident = F.xxhash64("image_id", "x", "y", "w", "h")
     keep = lambda df: df.where(~G.excluded_semantic(G.box(), tuple(F.lit(v) for v in exclude_box), exclude_iou)) if exclude_box else df
     coarse = N.written(keep(found).withColumn("id", ident).dropDuplicates(["id"]), "coarse")
@@ -75,8 +73,8 @@ def search(tiles: DataFrame, template: np.ndarray, size: tuple[int, int], *, sid
     height, width = size
     move = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     moved = coarse.withColumn("m", move).select(
-        "image_id", "w", "h", "scale", F.greatest(F.lit(0), F.least(F.col("x") + F.col("m.i") * F.floor(F.col("w") / 4), width - F.col("w"))).cast("int").alias("x"),
-        F.greatest(F.lit(0), F.least(F.col("y") + F.col("m.j") * F.floor(F.col("h") / 4), height - F.col("h"))).cast("int").alias("y"),
+        "image_id", "w", "h", "scale", F.greatest(F.lit(0), F.least(F.col("x") + F.col("m.i") * F.floor(F.col("w") / (2 * steps)), width - F.col("w"))).cast("int").alias("x"),
+        F.greatest(F.lit(0), F.least(F.col("y") + F.col("m.j") * F.floor(F.col("h") / (2 * steps)), height - F.col("h"))).cast("int").alias("y"),
     )
     moved = N.written(moved.withColumn("id", ident).dropDuplicates(["id"]), "moved")
     shared, encode = queries(template, encoder, orientations, mask), ENCODERS[encoder]
@@ -87,6 +85,6 @@ def search(tiles: DataFrame, template: np.ndarray, size: tuple[int, int], *, sid
             yield pd.DataFrame(out, columns=["id", "score", "orientation"])
 
     reach = max(round(max(template.shape[:2]) * max(scales)), 8)
-    scored = S.patches(tiles, moved.select("image_id", "id", "x", "y", "w", "h"), side, reach).mapInPandas(run, "id long, score double, orientation string")
+    scored = T.cut(tiles, moved.select("image_id", "id", "x", "y", "w", "h"), side, reach).mapInPandas(run, "id long, score double, orientation string")
     fine = keep(moved.join(scored, "id").where(F.col("score") >= floor)).withColumn("score", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)))
     return N.top(N.nms(N.written(fine, "fine"), nms_iou, by=("image_id",)), max_results).select("image_id", "x", "y", "w", "h", "score", "scale", "orientation")

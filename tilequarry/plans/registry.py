@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from tilequarry.plans import box_queries, dense_queries, retrieval_queries, tile_queries  # noqa: F401
+    from tilequarry.plans import box_queries, dense_queries, retrieval_queries, scene_queries, tile_queries  # noqa: F401

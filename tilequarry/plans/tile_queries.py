@@ -1,19 +1,13 @@
-"""Registered queries of the tile path, keypoints, image files and streams."""
+"""Registered queries of the tile path on the small raster, image files and streams."""
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequarry.functions import features as V
-from tilequarry.functions import kernels as K
-from tilequarry.operators import examples as X
-from tilequarry.operators import keypoints as P
-from tilequarry.operators import semantic as E
-from tilequarry.operators.nms import LOCAL_CHECKPOINTS, written
+from tilequarry.operators.nms import folder as new_folder
+from tilequarry.operators.nms import written
 from tilequarry.plans import dense_queries as Q
 from tilequarry.plans.registry import query
 from tilequarry.plans.request import SearchParams, SearchRequest
@@ -44,85 +38,6 @@ def tile_ncc_fft(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "w", "h", F.round("score", 6).alias("score"))
 
 
-@query("sample_selftest")
-def sample_selftest(spark, sf):
-    """A generated image of 1600 x 1200 with eight copies of a motif: a search from one finds the seven others, and no more."""
-    tiles, truth, own = I.sample(spark, 1600, 1200)
-    found = SearchRequest(own, SearchParams(threshold_floor=0.85), exclude_box=truth[0]).run(tiles, 512)
-    wanted = spark.createDataFrame(truth[1:], "tx int, ty int, tw int, th int")
-    near = (F.abs(F.col("x") - F.col("tx")) <= 8) & (F.abs(F.col("y") - F.col("ty")) <= 8)
-    pairs = found.join(F.broadcast(wanted), near, "left")  # eight rows
-    return pairs.agg((F.count_if(F.col("tx").isNull()) == 0).alias("complete"), F.count_distinct("tx", "ty").alias("n_found"))
-
-
-@query("pyramid_parity")
-def pyramid_parity(spark, sf):
-    """Coarse to fine finds what the full search finds."""
-    tiles, truth, own = I.sample(spark, 1100, 1100, motif_side=96)
-    tiles = written(tiles, "sample")
-    run = lambda pyramid: SearchRequest(own, SearchParams(threshold_floor=0.9, pyramid=pyramid), exclude_box=truth[0]).run(tiles, 512).select("x", "y")
-    full, coarse = written(run(False), "full"), written(run(True), "coarse")
-    both = full.join(coarse, ["x", "y"])
-    return full.agg(F.count(F.lit(1)).alias("full")).join(coarse.agg(F.count(F.lit(1)).alias("coarse")), F.lit(True)).join(both.agg(F.count(F.lit(1)).alias("both_")), F.lit(True))
-
-
-@query("multi_example")
-def multi_example(spark, sf):
-    """Two positives, one a little off, and a negative: all eight copies, nothing else."""
-    tiles, truth, _ = I.sample(spark, 1600, 1200)
-    (x, y, w, h) = truth[1]
-    found = X.match_examples(written(tiles, "sample"), [truth[0], (x + 2, y - 1, w, h)], [(300, 300, w, h)], side=512)
-    wanted = spark.createDataFrame(truth, "x int, y int, tw int, th int")
-    return found.join(F.broadcast(wanted), ["x", "y"], "left").agg(F.count(F.lit(1)).alias("n"), (F.count("tw") == F.count(F.lit(1))).alias("exact"))
-
-
-def turned_scene() -> tuple[np.ndarray, np.ndarray, tuple[int, int, int, int]]:
-    """A scene with a motif, an upside-down mirrored copy, and one turned by 35 degrees at 1.15 times its size."""
-    rng = np.random.default_rng(3)
-    scene = I.background(0, 0, 900, 700, 3)
-    gray = K.resample(rng.integers(0, 256, (16, 18)).astype(float), 160, 180)
-    own = np.clip(np.stack([gray] * 3, axis=-1), 0, 255).astype(np.uint8)
-    scene[60:220, 80:260] = own
-    scene[450:610, 500:680] = own[::-1]
-    turn, size = np.radians(35), 1.15
-    ys, xs = np.mgrid[0:700, 0:900]
-    u = ((xs - 640) * np.cos(turn) + (ys - 230) * np.sin(turn)) / size + 90
-    v = (-(xs - 640) * np.sin(turn) + (ys - 230) * np.cos(turn)) / size + 80
-    inside = (u >= 0) & (u < 179) & (v >= 0) & (v < 159)
-    for c in range(3):
-        scene[..., c][inside] = V._sample(own[..., c].astype(float), v[inside], u[inside])
-    return scene, own, (80, 60, 180, 160)
-
-
-def _keypoints(strict: bool):
-    def run(spark, sf):
-        scene, own, source = turned_scene()
-        found = P.search(I.array_tiles(spark, scene, 256), own, side=256, strict=strict, exclude_box=source)
-        return found.select("x", "y", "w", "h", F.round("scale", 2).alias("scale"), "orientation", F.round("score", 3).alias("score"))
-
-    return run
-
-
-@query("semantic_search")
-def semantic_search(spark, sf):
-    """A generated sample searched by window embeddings from one of its eight copies."""
-    tiles, truth, own = I.sample(spark, 1600, 1200)
-    found = E.search(written(tiles, "sample"), own, (1200, 1600), side=512, exclude_box=truth[0])
-    return found.select("x", "y", "w", "h", F.round("score", 6).alias("score"))
-
-
-@query("pair_search")
-def pair_search(spark, sf):
-    """The scene searched by pairs of keypoints, which find copies of the same size: the mirrored one, not the turned one."""
-    scene, own, source = turned_scene()
-    found = P.pair_search(written(I.array_tiles(spark, scene, 256), "scene"), own, scene.shape[:2], side=256, orientations=("R0", "MX"), exclude_box=source)
-    return found.select("x", "y", "w", "h", "orientation", F.round("score", 3).alias("score"))
-
-
-query("keypoint_search")(_keypoints(True))
-query("fuzzy_search")(_keypoints(False))
-
-
 @query("image_roundtrip", f"WITH {RASTER_SQL} SELECT x, y, r, g, b FROM raster")
 def image_roundtrip(spark, sf):
     """The pixels of the derived raster, written as a PNG file and read back by Spark's image source."""
@@ -130,7 +45,7 @@ def image_roundtrip(spark, sf):
     a = np.zeros((HEIGHT, WIDTH, 3), dtype=np.uint8)
     for p in pixels:
         a[p["y"], p["x"]] = (p["r"], p["g"], p["b"])
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or LOCAL_CHECKPOINTS).rstrip('/')}/png-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "png")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/image.png")
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
     out.write(bytearray(I.png(a)))
@@ -143,7 +58,7 @@ def image_roundtrip(spark, sf):
 @query("debounce_stream", "WITH g AS (SELECT user_id AS session, event_id AS request, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) SELECT session, request FROM g WHERE nxt IS NULL OR nxt - ts >= INTERVAL 2 HOUR")
 def debounce_stream(spark, sf):
     """The debounced requests of `events` read as a stream; a far later event closes the last windows."""
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or LOCAL_CHECKPOINTS).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = new_folder(spark, "stream")
     events = table(spark, sf, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("request"), F.col("ts").cast("timestamp").alias("ts"))
     events.write.parquet(f"{base}/in")
     closing = events.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("session"), F.lit(-1).cast("long").alias("request"), (F.col("ts") + F.expr("interval 30 days")).alias("ts"))
