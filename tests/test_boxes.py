@@ -47,6 +47,76 @@ def test_suppression_chain(spark):
     assert {r["id"] for r in N.nms(spark.createDataFrame(rows, SCHEMA), 0.3).collect()} == greedy(rows, 0.3)
 
 
+def plain_pairs(rows, limit):
+    order = lambda r: (-r[5], r[2], r[1], r[3], r[4], r[0])
+    return {(min(a, b, key=order)[0], max(a, b, key=order)[0]) for i, a in enumerate(rows) for b in rows[:i] if iou(a, b) > limit}
+
+
+@pytest.mark.parametrize("limit", [0.0, 0.05, 0.3, 0.7])
+def test_pairs_of_all_sizes(spark, limit):
+    """Boxes from 1 to 20,000 pixels a side, some of them thin: every pair once, the better one first."""
+    rng = random.Random(17)
+    side = lambda: int(2 ** rng.uniform(0, 14.3))
+    rows = [(i, rng.randrange(-50, 900), rng.randrange(-50, 900), side(), side(), round(rng.random(), 1)) for i in range(260)]
+    rows += [(1000 + i, x + rng.randrange(3), y, w + rng.randrange(3), h, s) for i, (_, x, y, w, h, s) in enumerate(rows[:60])]
+    got = [(r.hi, r.lo) for r in N.pairs(spark.createDataFrame(rows, SCHEMA), limit).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_pairs(rows, limit)
+
+
+def test_one_large_box_shares_no_cells_with_small_ones(spark):
+    rows = [(i, 40 * (i % 100), 40 * (i // 100), 10, 10, 0.5) for i in range(3000)] + [(9999, 0, 0, 4000, 4000, 0.9)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    sizes = N.Sizes.of(frame)
+    assert sizes.sides == {1: 10.0, 5: 4000.0} and sizes.counts == {1: 3000, 5: 1} and N.class_span(0.3) == 1
+    probes, stored = N.grid_cells(sizes, N.class_span(0.3), half=True)
+    laid = lambda cells, name: frame.select("id", sizes.size_class()).join(frame.drop("score"), "id").select("id", F.explode(cells).alias("c")).select(F.col("id").alias(name), "c.grid", "c.tier", "c.cx", "c.cy")
+    met = laid(probes, "i").join(laid(stored, "j"), ["grid", "tier", "cx", "cy"])
+    assert met.where("(i = 9999) <> (j = 9999)").count() == 0 and N.pairs(frame, 0.3).count() == 0 and N.pairs(frame, 0.0).count() == 3000
+
+
+def test_long_chains_end_by_component(spark):
+    rows = [(i, 4 * i, 0, 10, 10, 1 - i / 5000) for i in range(3000)] + [(10_000 + i, 4 * i, 500, 10, 10, (i * 7919 % 1000) / 1000) for i in range(1000)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    want = greedy_on(plain_neighbours(rows), rows)
+    assert {r["id"] for r in N.nms(frame, 0.3).collect()} == want
+    edges = N.written(N.pairs(frame, 0.3).select("hi", "lo"), "edges")
+    for rounds, largest in ((0, 10**9), (1, 1500)):  # all by component; the longer chain by rounds after the shorter ones went by component
+        short = edges.where("hi >= 10000 OR hi < 40")
+        gone = {r["id"] for r in N.suppressed(short if largest < 10**9 else edges, rounds, largest if largest == 10**9 else 20).collect()}
+        own = {x for r in short.collect() for x in (r.hi, r.lo)} if largest < 10**9 else {r[0] for r in rows}
+        left = greedy_on({(a, b) for a, b in plain_neighbours(rows) if largest == 10**9 or (a >= 10000 or a < 40)}, [r for r in rows if r[0] in own])
+        assert own - gone == left
+
+
+def plain_neighbours(rows):
+    """(better, other) of boxes in a line that overlap by more than 0.3: near ones only."""
+    order = lambda r: (-r[5], r[2], r[1], r[3], r[4], r[0])
+    out = set()
+    for lane in ([r for r in rows if r[0] < 10_000], [r for r in rows if r[0] >= 10_000]):
+        for i, a in enumerate(lane):
+            for b in lane[i + 1 : i + 4]:
+                if iou(a, b) > 0.3:
+                    out.add((min(a, b, key=order)[0], max(a, b, key=order)[0]))
+    return out
+
+
+def greedy_on(edges, rows):
+    above = {}
+    for hi, lo in edges:
+        above.setdefault(lo, []).append(hi)
+    kept = set()
+    for r in sorted(rows, key=lambda r: (-r[5], r[2], r[1], r[3], r[4], r[0])):
+        if not kept & set(above.get(r[0], ())):
+            kept.add(r[0])
+    return kept
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(1000, k) for k in range(1001, 1100)] + [(5000, 5001), (5001, 5002), (5002, 5000)]
+    got = {r.id: r.component for r in N.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(201)}, **{k: 1000 for k in range(1000, 1100)}, **{k: 5000 for k in (5000, 5001, 5002)}}
+
+
 def test_suppression_of_nothing(spark):
     assert N.nms(spark.createDataFrame([], SCHEMA), 0.3).count() == 0
 

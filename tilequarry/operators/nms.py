@@ -1,16 +1,21 @@
 """Exact greedy non-maximum suppression over a box relation, and its building blocks.
 
-A box stays if no box of higher rank that stays overlaps it by more than the limit. Pairs come from an equi-join on grid
-cells as large as the largest box. Boxes are then decided in rounds: one that a kept box suppresses goes, one whose
-suppressors are all gone stays. Each round is one pass over the undecided edges, written to the shared folder.
+A box stays if no box of higher rank that stays overlaps it by more than the limit. Pairs come from an equi-join on the cells
+of grids by size class. Boxes are then decided in rounds: one that a kept box suppresses goes, one whose suppressors are all
+gone stays. Each round is one pass over the undecided edges, written to the shared folder; what a few rounds leave is decided
+by connected component.
 """
 
 from __future__ import annotations
 
 import atexit
+import math
 import re
 import uuid
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +44,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that written() made."""
+    for t in tables:
+        for where in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            _remove(t.sparkSession, where)
+
+
 def _remove(spark: SparkSession, where: str) -> None:
     try:
         if not spark._jsc.sc().isStopped():
@@ -59,45 +71,197 @@ def precedes(a: str, b: str) -> Column:
     return order(a) < order(b)
 
 
+#: Class k holds boxes whose longer side is BASE^k or more and under BASE^(k + 1); the last one, all larger ones.
+BASE, LAST = 4, 24
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """The size classes that occur, with the longest side and the number of boxes of each."""
+
+    sides: dict[int, float]
+    counts: dict[int, int]
+
+    @staticmethod
+    def of(*tables: DataFrame) -> Sizes:
+        """By one aggregate of each table; a class a row."""
+        sides: dict[int, float] = {}
+        counts: dict[int, int] = {}
+        for t in tables:
+            for r in t.groupBy(_class(0, LAST).alias("k")).agg(F.greatest(F.max("w"), F.max("h"), F.lit(1)).alias("side"), F.count(F.lit(1)).alias("n")).collect():
+                sides[r["k"]], counts[r["k"]] = max(sides.get(r["k"], 1.0), float(r["side"] or 1)), counts.get(r["k"], 0) + r["n"]
+        return Sizes(sides, counts)
+
+    def size_class(self) -> Column:
+        return _class(min(self.sides, default=0), max(self.sides, default=0)).alias("class")
+
+
+def _class(first: int, last: int) -> Column:
+    side = F.greatest("w", "h").cast("double")
+    return sum((F.when(side >= float(BASE) ** k, 1).otherwise(0) for k in range(first + 1, last + 1)), F.lit(first))
+
+
+def class_span(limit: float) -> int:
+    """How many classes apart boxes can be that overlap above the limit: their longer sides differ by less than 1 / limit."""
+    return LAST if limit <= 0 else math.ceil(math.log(1 / min(limit, 1.0), BASE) + 1 - 1e-9) - 1
+
+
+def grid_cells(sizes: Sizes, span: int, *, half: bool) -> tuple[Column, Column]:
+    """(probes, stored): arrays of cells (grid, tier, cx, cy, own) of a box, by its class. Two boxes that may meet share one of them.
+
+    A class's grid has cells as large as its longest side. A box is stored in its class's grid under its class as tier, and looks
+    there at its own cell and, with half, at half of those around it. Of two classes the one with fewer boxes looks at nine cells of the larger ones' grid; where that is the larger
+    class, the smaller boxes are stored in that grid too. Boxes of classes further apart than `span` never meet.
+    """
+    none = F.array().cast("array<struct<grid:int,tier:int,cx:long,cy:long,own:boolean>>")
+    probes, stored = none, none
+    kind, around = F.col("class"), [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+
+    def cell(grid: int, tier: int, i: int, j: int) -> Column:
+        side = sizes.sides[grid]
+        return F.struct(F.lit(grid).alias("grid"), F.lit(tier).alias("tier"), (F.floor(F.col("x") / side) + i).alias("cx"), (F.floor(F.col("y") / side) + j).alias("cy"), F.lit((i, j) == (0, 0)).alias("own"))
+
+    counts = sizes.counts
+    near = [(k, c) for k in counts for c in counts if c < k <= c + span]  # larger, smaller
+    larger_looks = {(k, c) for k, c in near if counts[k] <= counts[c]}
+    for c in counts:
+        looks = [cell(c, c, i, j) for i, j in (((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)) if half else around)]
+        looks += [cell(k, k, i, j) for k, small in near if small == c and (k, c) not in larger_looks for i, j in around]
+        looks += [cell(c, small, i, j) for k, small in near if k == c and (c, small) in larger_looks for i, j in around]
+        lies = [cell(c, c, 0, 0)] + [cell(k, c, 0, 0) for k, small in near if small == c and (k, c) in larger_looks]
+        probes, stored = F.when(kind == c, F.array(*looks)).otherwise(probes), F.when(kind == c, F.array(*lies)).otherwise(stored)
+    return probes, stored
+
+
 def pairs(boxes: DataFrame, limit: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """(hi, lo, iou) of overlaps above the limit within the same `by` values; hi ranks first."""
-    side = boxes.agg(F.greatest(F.max("w"), F.max("h"), F.lit(1)).alias("cell")).first()["cell"] or 1
+    """(hi, lo, iou) of overlaps above the limit (0 or more) within the same `by` values; hi ranks first.
+
+    Boxes meet by an equi-join on the cells of their size class's grid, so a few large boxes among many small ones share no
+    cells with these: overlap above the limit needs like sides.
+    """
+    if limit < 0:
+        raise ValueError("the limit of overlaps is 0 or more")
+    sizes = Sizes.of(boxes)
+    probes, stored = grid_cells(sizes, class_span(limit), half=True)
     cols = ["id", "x", "y", "w", "h", "score", *by]
-    cx, cy = F.floor(F.col("x") / side), F.floor(F.col("y") / side)
-    # Half of the neighbourhood: of two boxes in different cells one has the other ahead, in one cell the smaller id leads.
-    near = F.explode(F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy"), F.lit((i, j) == (0, 0)).alias("own")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]))
-    a = boxes.select(*cols, near.alias("c")).select(*cols, "c.cx", "c.cy", "c.own").alias("a")
-    b = boxes.select(*cols, cx.alias("cx"), cy.alias("cy")).alias("b")
-    same = [F.col("a.cx") == F.col("b.cx"), F.col("a.cy") == F.col("b.cy"), *[F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]]
+    classed = boxes.select(*cols, sizes.size_class())
+    keys = ["cx", "cy", "grid", "tier"]  # sorts compare the first one first
+    a = classed.select(*cols, "class", F.explode(probes).alias("c")).select(*cols, *[f"c.{k}" for k in keys], (F.col("c.own") & (F.col("class") == F.col("c.tier"))).alias("own")).alias("a")
+    b = classed.select(*cols, F.explode(stored).alias("c")).select(*cols, *[f"c.{k}" for k in keys]).alias("b")
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    for k in by:
+        cond = cond & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    # Of two boxes of one class in one cell the smaller id leads; in different cells one has the other ahead.
+    cond = cond & (~F.col("a.own") | (F.col("a.id") < F.col("b.id")))
+    for p, side in (("x", "w"), ("y", "h")):  # boxes that don't meet are told apart before areas are divided
+        cond = cond & (F.col(f"a.{p}") < F.col(f"b.{p}") + F.col(f"b.{side}")) & (F.col(f"b.{p}") < F.col(f"a.{p}") + F.col(f"a.{side}"))
     side_of = lambda p: tuple(F.col(f"{p}.{n}") for n in "xywh")
     overlap = iou(side_of("a"), side_of("b"))
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    cond = cond & (~F.col("a.own") | (F.col("a.id") < F.col("b.id")))
-    if limit >= 0:  # boxes that don't meet are told apart before areas are divided
-        for p, side in (("x", "w"), ("y", "h")):
-            cond = cond & (F.col(f"a.{p}") < F.col(f"b.{p}") + F.col(f"b.{side}")) & (F.col(f"b.{p}") < F.col(f"a.{p}") + F.col(f"a.{side}"))
-    first = precedes("a", "b")
-    hi, lo = F.when(first, F.col("a.id")).otherwise(F.col("b.id")), F.when(first, F.col("b.id")).otherwise(F.col("a.id"))
-    return a.join(b, cond & (overlap > limit)).select(hi.alias("hi"), lo.alias("lo"), overlap.alias("iou"))
-
-
-def nms(boxes: DataFrame, limit: float, by: tuple[str, ...] = (), max_rounds: int = 2000) -> DataFrame:
-    """The boxes that stay, all columns. boxes: id (unique), x, y, w, h, score and more. A limit below 0 keeps one box a group."""
-    edges = written(pairs(boxes, limit, by).select("hi", "lo"), "nms-edges")
-    gone = None
-    for _ in range(max_rounds):
-        if not edges.limit(1).count():
+    first = F.when(F.col("a.score") != F.col("b.score"), F.col("a.score") > F.col("b.score")).otherwise(precedes("a", "b"))
+    met = a.join(b, cond & (overlap > limit)).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), first.alias("first"), overlap.alias("iou"))
+    return met.select(F.when(F.col("first"), F.col("i")).otherwise(F.col("j")).alias("hi"), F.when(F.col("first"), F.col("j")).otherwise(F.col("i")).alias("lo"), "iou")
+
+
+#: Rounds before what is left is looked at by component, and edges of a component that one task resolves.
+ROUNDS, COMPONENT = 4, 2_000_000
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id, component (its smallest id) of the ends of edges (a, b), by alternating stars: rounds grow with the logarithm of a component's size.
+
+    In a round every node's larger neighbours are linked to its least one, then its smaller neighbours and itself. Each round is
+    a written table, and the one before is deleted.
+    """
+    left = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
+    before = None
+    while True:
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+        large = both.join(least, both["a"] == least["n"]).where(F.col("b") > F.col("n")).select(F.col("b").alias("b"), F.col("m").alias("a")).where("a <> b").distinct()
+        lower = large.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("m"))
+        small = large.join(lower, large["b"] == lower["n"]).select(F.explode(F.array("a", "b")).alias("b"), "m").where("b <> m").select(F.col("m").alias("a"), "b").distinct()
+        after = written(small, "stars")
+        drop(left)
+        state = after.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
+        left = after
+        if state == before:
             break
-        # Of the boxes still in an edge, those that nothing suppresses stay; what they suppress goes.
-        heads = edges.select(F.col("hi").alias("id")).distinct().join(edges.select(F.col("lo").alias("id")), "id", "left_anti")
-        out = written(edges.join(heads, edges.hi == heads.id, "left_semi").select(F.col("lo").alias("id")).distinct(), "nms-gone")
-        gone = out if gone is None else gone.unionByName(out)
-        ends = out.unionByName(heads)
-        edges = written(edges.join(out, edges.lo == out.id, "left_anti").join(ends, edges.hi == ends.id, "left_anti"), "nms-edges")
-    else:
-        raise RuntimeError(f"suppression did not settle in {max_rounds} rounds")
+        before = state
+    return left.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(left.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
+
+
+def _resolve(frame: pd.DataFrame) -> pd.DataFrame:
+    """The lo ends that go, of the edges of one component: a box stays once all that could suppress it are gone."""
+    below: dict[int, list[int]] = {}
+    waiting: dict[int, int] = {}
+    for hi, lo in zip(frame["hi"].tolist(), frame["lo"].tolist(), strict=True):
+        below.setdefault(hi, []).append(lo)
+        waiting[lo] = waiting.get(lo, 0) + 1
+    gone: set[int] = set()
+    decided = [(k, True) for k in below if k not in waiting]
+    while decided:
+        box, stays = decided.pop()
+        for lo in below.get(box, ()):
+            if lo in gone:
+                continue
+            waiting[lo] -= 1
+            if stays:
+                gone.add(lo)
+                decided.append((lo, False))
+            elif not waiting[lo]:
+                decided.append((lo, True))
+    return pd.DataFrame({"id": np.fromiter(gone, dtype=np.int64, count=len(gone))})
+
+
+def _round(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(what goes, the edges left): of the boxes still in an edge, those that nothing suppresses stay; what they suppress goes."""
+    heads = edges.select(F.col("hi").alias("id")).distinct().join(edges.select(F.col("lo").alias("id")), "id", "left_anti")
+    out = written(edges.join(heads, edges.hi == heads.id, "left_semi").select(F.col("lo").alias("id")).distinct(), "nms-gone")
+    ends = out.unionByName(heads)
+    return out, written(edges.join(out, edges.lo == out.id, "left_anti").join(ends, edges.hi == ends.id, "left_anti"), "nms-edges")
+
+
+def suppressed(edges: DataFrame, rounds: int = ROUNDS, largest: int = COMPONENT) -> DataFrame | None:
+    """id of the boxes that greedy suppression along edges (hi, lo) removes; None if there are none.
+
+    A few rounds decide ordinary data. Of what is left, chains and thickets, each connected component of up to `largest` edges is
+    decided by one task; larger ones go on by rounds. Tables of a round are deleted after the next one.
+    """
+    gone, n = [], 0
+    edges = written(edges.select("hi", "lo"), "nms-edges")
+    while not edges.isEmpty():
+        if n == rounds:
+            named = written(components(edges.select(F.col("hi").alias("a"), F.col("lo").alias("b"))), "nms-components")
+            placed = written(edges.join(named, edges.hi == named.id).select("hi", "lo", "component"), "nms-placed")
+            few = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= largest).select("component")
+            gone.append(written(placed.join(few, "component", "left_semi").groupBy("component").applyInPandas(_resolve, "id long"), "nms-gone"))
+            rest = written(placed.join(few, "component", "left_anti").select("hi", "lo"), "nms-edges")
+        else:
+            out, rest = _round(edges)
+            gone.append(out)
+            if len(gone) > 16:  # fold: the plan stays small however many rounds there are
+                whole = gone[0]
+                for g in gone[1:]:
+                    whole = whole.unionByName(g)
+                folded = written(whole, "nms-gone")
+                drop(*gone)
+                gone = [folded]
+        drop(edges)
+        edges, n = rest, n + 1
+    whole = None
+    for g in gone:
+        whole = g if whole is None else whole.unionByName(g)
+    return whole
+
+
+def nms(boxes: DataFrame, limit: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """The boxes that stay, all columns. boxes: id (unique), x, y, w, h, score and more. A limit below 0 keeps the best box of a group."""
+    if limit < 0:
+        best = boxes.groupBy(*by).agg(F.min_by("id", F.struct((-F.col("score")).alias("score"), "y", "x", "w", "h", "id")).alias("id"))
+        return boxes.join(best.select("id"), "id", "left_semi")
+    gone = suppressed(pairs(boxes, limit, by))
     return boxes if gone is None else boxes.join(gone, "id", "left_anti")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilequarry.functions import geometry as G
+from tilequarry.operators import nms as N
 from tilequarry.operators.nms import rank_key, written
 
 
@@ -46,21 +47,22 @@ def best_of_each(matches: DataFrame, by: list[str], k: int) -> DataFrame:
     return matches.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*rank_key()))).where(F.col("rank") <= k)
 
 
-def _cells(boxes: DataFrame, side: int, reach: tuple[int, ...]) -> DataFrame:
-    cx, cy = F.floor(F.col("x") / side), F.floor(F.col("y") / side)
-    near = F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in reach for j in reach])
-    return boxes.withColumn("cell__", F.explode(near)).withColumns({"cx__": F.col("cell__.cx"), "cy__": F.col("cell__.cy")}).drop("cell__")
-
-
-def _side(*tables: DataFrame) -> int:
-    return max(t.agg(F.greatest(F.max("w"), F.max("h"), F.lit(1))).first()[0] or 1 for t in tables)
+def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Structs a and b: boxes of both tables that may meet, by the cells of their size classes' grids."""
+    sizes = N.Sizes.of(left, right)
+    probes, stored = N.grid_cells(sizes, N.LAST, half=False)
+    keys = ["cx", "cy", "grid", "tier"]
 
+    def laid(boxes: DataFrame, cells: Column, name: str) -> DataFrame:
+        row = F.struct(*boxes.columns).alias(name)
+        return boxes.withColumn("class", sizes.size_class()).select(row, "class", F.explode(cells).alias("c")).select(name, "class", *[f"c.{k}" for k in keys])
 
-def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Aliases a and b: boxes of both tables whose corners lie in neighbouring cells, as large as the largest box."""
-    side = _side(left, right)
-    a, b = _cells(left, side, (-1, 0, 1)).alias("a"), _cells(right, side, (0,)).alias("b")
-    return a.join(b, (F.col("a.cx__") == F.col("b.cx__")) & (F.col("a.cy__") == F.col("b.cy__")))
+    mine = laid(left, probes, "a").drop("class").join(laid(right, stored, "b").drop("class"), keys).select("a", "b")
+    if len(sizes.counts) < 2:
+        return mine
+    # Of two classes one looks for the other: the right table's boxes of that class look for the left one's.
+    theirs = laid(right, probes, "b").where(F.col("class") != F.col("tier")).drop("class").join(laid(left, stored, "a").drop("class"), keys)
+    return mine.unionByName(theirs.select("a", "b"))
 
 
 def _box(alias: str):
@@ -90,11 +92,17 @@ def drop_phantoms(matches: DataFrame) -> DataFrame:
 
 def smallest_under(boxes: DataFrame, points: DataFrame) -> DataFrame:
     """pid, id: of the boxes that hold a point (pid, px, py) the smallest, then the first by id."""
-    side = _side(boxes)
-    b = _cells(boxes.select("id", "x", "y", "w", "h"), side, (0, 1))
-    p = points.withColumns({"cx__": F.floor(F.col("px") / side), "cy__": F.floor(F.col("py") / side)})
+    sizes = N.Sizes.of(boxes)
+    classes = list(sizes.sides)
+    at = lambda k, x, y, i=0, j=0: F.struct(F.lit(k).alias("grid__"), (F.floor(x / sizes.sides[k]) + i).alias("cx__"), (F.floor(y / sizes.sides[k]) + j).alias("cy__"))
+    cells = F.array().cast("array<struct<grid__:int,cx__:long,cy__:long>>")
+    for k in classes:
+        cells = F.when(F.col("class") == k, F.array(*[at(k, F.col("x"), F.col("y"), i, j) for i in (0, 1) for j in (0, 1)])).otherwise(cells)
+    keys = ["grid__", "cx__", "cy__"]
+    b = boxes.select("id", "x", "y", "w", "h", sizes.size_class()).select("id", "x", "y", "w", "h", F.explode(cells).alias("c")).select("id", "x", "y", "w", "h", *[f"c.{k}" for k in keys])
+    p = points.withColumn("c__", F.explode(F.array(*[at(k, F.col("px"), F.col("py")) for k in classes]))).select("*", *[f"c__.{k}" for k in keys]).drop("c__") if classes else points.select("*", *[F.lit(0).alias(k) for k in keys]).limit(0)
     inside = (F.col("px") >= F.col("x")) & (F.col("px") < F.col("x") + F.col("w")) & (F.col("py") >= F.col("y")) & (F.col("py") < F.col("y") + F.col("h"))
-    return b.join(p, ["cx__", "cy__"]).where(inside).groupBy("pid").agg(F.min_by("id", F.struct(F.col("w") * F.col("h"), F.col("id"))).alias("id"))
+    return b.join(p, keys).where(inside).groupBy("pid").agg(F.min_by("id", F.struct(F.col("w") * F.col("h"), F.col("id"))).alias("id"))
 
 
 def clip(boxes: DataFrame, width: int, height: int) -> DataFrame:

@@ -59,12 +59,36 @@ def iou_pairs(spark, sf):
     return found.select(F.least("hi", "lo").alias("a"), F.greatest("hi", "lo").alias("b"), F.round("iou", 6).alias("iou"))
 
 
-@query("nms_greedy")
+def _nms_sql(p: str, edges: str) -> str:
+    """CTEs of greedy suppression along edges (a query of ranks hi, lo): {p}out has the ranks that go. Components are found by reach, then walked in order of rank."""
+    return f"""{p}e AS ({edges}),
+{p}r AS (SELECT hi AS n, hi AS c FROM {p}e UNION SELECT lo AS n, lo AS c FROM {p}e UNION
+         SELECT CASE WHEN e.hi = r.n THEN e.lo ELSE e.hi END AS n, r.c FROM {p}r r JOIN {p}e e ON e.hi = r.n OR e.lo = r.n),
+{p}c AS (SELECT comp, list(n ORDER BY n) AS members FROM (SELECT n, min(c) AS comp FROM {p}r GROUP BY n) GROUP BY comp),
+{p}h AS (SELECT lo, list(hi) AS his FROM {p}e GROUP BY lo),
+{p}s AS (SELECT comp, 0::BIGINT AS k, []::BIGINT[] AS kept FROM {p}c UNION ALL
+         SELECT s.comp, s.k + 1, CASE WHEN len(list_intersect(s.kept, coalesce(h.his, []))) > 0 THEN s.kept ELSE list_append(s.kept, c.members[s.k + 1]) END
+         FROM {p}s s JOIN {p}c c ON c.comp = s.comp LEFT JOIN {p}h h ON h.lo = c.members[s.k + 1] WHERE s.k < len(c.members)),
+{p}kept AS (SELECT unnest(s.kept) AS r FROM {p}s s JOIN {p}c c ON c.comp = s.comp WHERE s.k = len(c.members)),
+{p}out AS (SELECT n AS r FROM (SELECT unnest(members) AS n FROM {p}c) WHERE n NOT IN (SELECT r FROM {p}kept))"""
+
+
+_RANKED_SQL = f"""{_PAIRS_SQL},
+rk AS (SELECT id, row_number() OVER (ORDER BY score DESC, y, x, w, h, id) AS r FROM boxes),
+ov AS (SELECT least(a.r, b.r) AS hi, greatest(a.r, b.r) AS lo, oa = ob AS same FROM iou JOIN rk a ON a.id = ai JOIN rk b ON b.id = bi WHERE iou > 0.3 AND ai < bi)"""
+
+
+@query("nms_greedy", f"WITH RECURSIVE {_RANKED_SQL}, {_nms_sql('nms_', 'SELECT hi, lo FROM ov')} SELECT id, x, y, w, h, score FROM boxes JOIN rk USING (id) WHERE r NOT IN (SELECT r FROM nms_out)")
 def nms_greedy(spark, sf):
     return N.nms(boxes(spark, sf), 0.3).select("id", "x", "y", "w", "h", "score")
 
 
-@query("nms_cross_orientation")
+@query(
+    "nms_cross_orientation",
+    f"""WITH RECURSIVE {_RANKED_SQL}, {_nms_sql('own_', 'SELECT hi, lo FROM ov WHERE same')},
+{_nms_sql('all_', 'SELECT hi, lo FROM ov WHERE hi NOT IN (SELECT r FROM own_out) AND lo NOT IN (SELECT r FROM own_out)')}
+SELECT id, orientation, score FROM boxes JOIN rk USING (id) WHERE r NOT IN (SELECT r FROM own_out) AND r NOT IN (SELECT r FROM all_out)""",
+)
 def nms_cross_orientation(spark, sf):
     """Suppression within each orientation, then over all that is left."""
     own = N.nms(boxes(spark, sf), 0.3, by=("orientation",))
