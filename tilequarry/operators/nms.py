@@ -107,27 +107,28 @@ def class_span(limit: float) -> int:
 
 
 def grid_cells(sizes: Sizes, span: int, *, half: bool) -> tuple[Column, Column]:
-    """(probes, stored): arrays of cells (grid, tier, cx, cy, own) of a box, by its class. Two boxes that may meet share one of them.
+    """(probes, stored): arrays of cells (cx, cy, own, apart) of a box, by its class. Two boxes that may meet share one of them.
 
     A class's grid has cells as large as its longest side. A box is stored in its class's grid under its class as tier, and looks
     there at its own cell and, with half, at half of those around it. Of two classes the one with fewer boxes looks at nine cells of the larger ones' grid; where that is the larger
-    class, the smaller boxes are stored in that grid too. Boxes of classes further apart than `span` never meet.
+    class, the smaller boxes are stored in that grid too. Boxes of classes further apart than `span` never meet. cx
+    holds grid and tier in its last ten bits, so that two numbers are the key.
     """
-    none = F.array().cast("array<struct<grid:int,tier:int,cx:long,cy:long,own:boolean>>")
+    none = F.array().cast("array<struct<cx:long,cy:long,own:boolean,apart:boolean>>")
     probes, stored = none, none
     kind, around = F.col("class"), [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
-    def cell(grid: int, tier: int, i: int, j: int) -> Column:
+    def cell(grid: int, tier: int, i: int, j: int, apart: bool = False) -> Column:
         side = sizes.sides[grid]
-        return F.struct(F.lit(grid).alias("grid"), F.lit(tier).alias("tier"), (F.floor(F.col("x") / side) + i).alias("cx"), (F.floor(F.col("y") / side) + j).alias("cy"), F.lit((i, j) == (0, 0)).alias("own"))
+        return F.struct(((F.floor(F.col("x") / side) + i) * 1024 + (grid * 32 + tier)).alias("cx"), (F.floor(F.col("y") / side) + j).alias("cy"), F.lit((i, j) == (0, 0) and not apart).alias("own"), F.lit(apart).alias("apart"))
 
     counts = sizes.counts
     near = [(k, c) for k in counts for c in counts if c < k <= c + span]  # larger, smaller
     larger_looks = {(k, c) for k, c in near if counts[k] <= counts[c]}
     for c in counts:
         looks = [cell(c, c, i, j) for i, j in (((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)) if half else around)]
-        looks += [cell(k, k, i, j) for k, small in near if small == c and (k, c) not in larger_looks for i, j in around]
-        looks += [cell(c, small, i, j) for k, small in near if k == c and (c, small) in larger_looks for i, j in around]
+        looks += [cell(k, k, i, j, True) for k, small in near if small == c and (k, c) not in larger_looks for i, j in around]
+        looks += [cell(c, small, i, j, True) for k, small in near if k == c and (c, small) in larger_looks for i, j in around]
         lies = [cell(c, c, 0, 0)] + [cell(k, c, 0, 0) for k, small in near if small == c and (k, c) in larger_looks]
         probes, stored = F.when(kind == c, F.array(*looks)).otherwise(probes), F.when(kind == c, F.array(*lies)).otherwise(stored)
     return probes, stored
@@ -145,9 +146,9 @@ def pairs(boxes: DataFrame, limit: float, by: tuple[str, ...] = ()) -> DataFrame
     probes, stored = grid_cells(sizes, class_span(limit), half=True)
     cols = ["id", "x", "y", "w", "h", "score", *by]
     classed = boxes.select(*cols, sizes.size_class())
-    keys = ["cx", "cy", "grid", "tier"]  # sorts compare the first one first
-    a = classed.select(*cols, "class", F.explode(probes).alias("c")).select(*cols, *[f"c.{k}" for k in keys], (F.col("c.own") & (F.col("class") == F.col("c.tier"))).alias("own")).alias("a")
-    b = classed.select(*cols, F.explode(stored).alias("c")).select(*cols, *[f"c.{k}" for k in keys]).alias("b")
+    keys = ["cx", "cy"]
+    a = classed.select(*cols, F.explode(probes).alias("c")).select(*cols, "c.cx", "c.cy", "c.own").alias("a")
+    b = classed.select(*cols, F.explode(stored).alias("c")).select(*cols, "c.cx", "c.cy").alias("b")
     cond = F.lit(True)
     for k in keys:
         cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
@@ -160,7 +161,8 @@ def pairs(boxes: DataFrame, limit: float, by: tuple[str, ...] = ()) -> DataFrame
     side_of = lambda p: tuple(F.col(f"{p}.{n}") for n in "xywh")
     overlap = iou(side_of("a"), side_of("b"))
     first = F.when(F.col("a.score") != F.col("b.score"), F.col("a.score") > F.col("b.score")).otherwise(precedes("a", "b"))
-    met = a.join(b, cond & (overlap > limit)).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), first.alias("first"), overlap.alias("iou"))
+    # Both sides are shuffled by cell, whatever their estimated size: one task of a broadcast join would do all comparisons of its file.
+    met = a.join(b.hint("merge"), cond & (overlap > limit)).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), first.alias("first"), overlap.alias("iou"))
     return met.select(F.when(F.col("first"), F.col("i")).otherwise(F.col("j")).alias("hi"), F.when(F.col("first"), F.col("j")).otherwise(F.col("i")).alias("lo"), "iou")
 
 

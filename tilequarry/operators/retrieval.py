@@ -113,7 +113,7 @@ def _within(centres: DataFrame, points: DataFrame, radius: int, k: int, carry: t
     a = centres.select(*by, F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), *mine, near.alias("c")).select(*by, "i", "xi", "yi", *[f"{c}_i" for c in carry], "c.cx", "c.cy")
     b = points.select(*by, F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), *theirs, F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))
     dx, dy = F.col("xj") - F.col("xi"), F.col("yj") - F.col("yi")
-    pairs = a.join(b, [*by, "cx", "cy"]).where((F.col("i") != F.col("j")) & (dx * dx + dy * dy <= radius * radius))
+    pairs = a.join(b.hint("merge"), [*by, "cx", "cy"]).where((F.col("i") != F.col("j")) & (dx * dx + dy * dy <= radius * radius))
     pairs = pairs.select(*by, "i", "j", "xi", "yi", dx.alias("dx"), dy.alias("dy"), *[f"{c}_{s}" for s in "ij" for c in carry])
     rank = F.row_number().over(Window.partitionBy("i").orderBy(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"), "j"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)

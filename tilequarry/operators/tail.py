@@ -51,17 +51,17 @@ def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Structs a and b: boxes of both tables that may meet, by the cells of their size classes' grids."""
     sizes = N.Sizes.of(left, right)
     probes, stored = N.grid_cells(sizes, N.LAST, half=False)
-    keys = ["cx", "cy", "grid", "tier"]
+    keys = ["cx", "cy"]
 
     def laid(boxes: DataFrame, cells: Column, name: str) -> DataFrame:
         row = F.struct(*boxes.columns).alias(name)
-        return boxes.withColumn("class", sizes.size_class()).select(row, "class", F.explode(cells).alias("c")).select(name, "class", *[f"c.{k}" for k in keys])
+        return boxes.withColumn("class", sizes.size_class()).select(row, F.explode(cells).alias("c")).select(name, "c.cx", "c.cy", "c.apart")
 
-    mine = laid(left, probes, "a").drop("class").join(laid(right, stored, "b").drop("class"), keys).select("a", "b")
+    mine = laid(left, probes, "a").drop("apart").join(laid(right, stored, "b").drop("apart").hint("merge"), keys).select("a", "b")
     if len(sizes.counts) < 2:
         return mine
     # Of two classes one looks for the other: the right table's boxes of that class look for the left one's.
-    theirs = laid(right, probes, "b").where(F.col("class") != F.col("tier")).drop("class").join(laid(left, stored, "a").drop("class"), keys)
+    theirs = laid(right, probes, "b").where("apart").drop("apart").join(laid(left, stored, "a").drop("apart").hint("merge"), keys)
     return mine.unionByName(theirs.select("a", "b"))
 
 
