@@ -181,3 +181,19 @@ def test_requests(spark):
     requests = spark.createDataFrame(rows, "session string, request long, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert {r["request"] for r in debounced(requests, "1 minute").collect()} == {2, 3, 4}
     assert {(r["session"], r["request"], r["stale"]) for r in latest(requests).collect()} == {("a", 3, 2), ("b", 4, 0)}
+
+
+def test_forms_compose_as_pixels_do():
+    from tilequarry.functions import kernels as K
+
+    a = np.arange(12).reshape(3, 4)
+    for code in G.ORIENTATIONS:
+        for turn in ("R0", "R90", "R180", "R270"):
+            assert (K.orient(K.orient(a, code), turn) == K.orient(a, G._composed(turn, code))).all()
+
+
+def test_right_angled_polygons(spark):
+    shape = "array<struct<x:double,y:double>>"
+    rows = [("l", [(10.2, 6.1), (70.4, 8.0), (69.0, 40.3), (44.6, 42.0), (45.0, 55.2), (12.0, 54.0)]), ("two", [(0.0, 0.0), (5.0, 5.0)]), ("square", [(0.0, 0.0), (4.0, 1.0), (4.2, 4.0), (0.1, 4.4)]), ("none", None)]
+    got = {r["n"]: r["c"] and [tuple(p) for p in r["c"]] for r in spark.createDataFrame(rows, f"n string, p {shape}").select("n", G.right_angled(F.col("p")).alias("c")).collect()}
+    assert got == {"l": [(10, 6), (70, 6), (70, 40), (45, 40), (45, 55), (12, 55), (12, 6)], "two": None, "square": [(0, 0), (4, 0), (4, 4), (0, 4)], "none": None}

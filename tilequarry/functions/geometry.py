@@ -185,26 +185,34 @@ def level_of_detail(scale: Column, levels: int, current: Column | None = None, b
     return target if current is None else F.when(F.abs(ideal - current) < 1 - band, current).otherwise(target)
 
 
-def rectilinear(clicks: list[tuple[float, float]]) -> list[tuple[int, int]]:
-    """The corners of a right-angled polygon from clicks: each edge follows its longer delta; a last corner closes it."""
-    points: list[tuple[int, int]] = []
-    for x, y in clicks:
-        px, py = round(x), round(y)
-        if points:
-            (lx, ly) = points[-1]
-            px, py = (px, ly) if abs(px - lx) >= abs(py - ly) else (lx, py)
-        points.append((px, py))
-    if len(points) < 3:
-        raise ValueError("a polygon has three corners or more")
-    (lx, ly), (fx, fy) = points[-1], points[0]
-    return points if lx == fx or ly == fy else [*points, (lx, fy)]
-
-
-def in_polygon(x: Column, y: Column, points: list[tuple[int, int]]) -> Column:
-    """Whether the centre of pixel (x, y) is inside by the even-odd rule."""
-    cx, cy, crossed = x + F.lit(0.5), y + F.lit(0.5), F.lit(0)
-    for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1], strict=True):
-        if ay != by:
-            edge = F.lit(float(ax)) + (cy - ay) * ((bx - ax) / (by - ay))
-            crossed = crossed + F.when((cy >= min(ay, by)) & (cy < max(ay, by)) & (cx < edge), 1).otherwise(0)
-    return crossed % 2 == 1
+def right_angled(clicks: Column) -> Column:
+    """array<struct<x, y>>: the corners of a right-angled polygon from an array of clicks (x, y), null for less than three.
+
+    A corner keeps the last one's row or column, whichever the click is further along; where the last corner shares neither
+    with the first one, another closes the polygon.
+    """
+    place = lambda x, y: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))
+    whole = F.transform(clicks, lambda c: place(F.rint(c["x"]), F.rint(c["y"])))
+
+    def follow(corners: Column, click: Column) -> Column:
+        last = F.element_at(corners, -1)
+        flat = F.abs(click["x"] - last["x"]) >= F.abs(click["y"] - last["y"])
+        return F.array_append(corners, place(F.when(flat, click["x"]).otherwise(last["x"]), F.when(flat, last["y"]).otherwise(click["y"])))
+
+    def close(corners: Column) -> Column:
+        first, last = F.element_at(corners, 1), F.element_at(corners, -1)
+        return F.when((first["x"] == last["x"]) | (first["y"] == last["y"]), corners).otherwise(F.array_append(corners, place(last["x"], first["y"])))
+
+    return F.when(F.size(clicks) >= 3, F.aggregate(F.slice(whole, 2, F.size(clicks)), F.slice(whole, 1, 1), follow, close))
+
+
+def in_polygon(x: Column, y: Column, corners: Column) -> Column:
+    """Whether the centre of pixel (x, y) is inside a polygon (array<struct<x, y>>) by the even-odd rule."""
+    cx, cy = x + F.lit(0.5), y + F.lit(0.5)
+    following = F.concat(F.slice(corners, 2, F.size(corners)), F.slice(corners, 1, 1))
+
+    def crossed(a: Column, b: Column) -> Column:
+        spans = (cy >= F.least(a["y"], b["y"])) & (cy < F.greatest(a["y"], b["y"]))
+        return F.when(spans & (cx < a["x"] + (cy - a["y"]) * (b["x"] - a["x"]) / F.nullif(b["y"] - a["y"], F.lit(0))), 1).otherwise(0)
+
+    return F.aggregate(F.zip_with(corners, following, crossed), F.lit(0), lambda n, c: n + c) % 2 == 1

@@ -332,7 +332,17 @@ def orientations_allowed(spark, sf):
     return T.allowed(boxes(spark, sf), False, True).select("id", "orientation")
 
 
-_NET = ",".join(f"('{o}', {k}, '{G._composed(t, o)}')" for o in G.ORIENTATIONS for k, t in enumerate(("R0", "R90", "R180", "R270")))
+#: The form that is the first one, then turned by 0 to 3 quarters.
+_NET = """
+('R0', 0, 'R0'), ('R0', 1, 'R90'), ('R0', 2, 'R180'), ('R0', 3, 'R270'),
+('R90', 0, 'R90'), ('R90', 1, 'R180'), ('R90', 2, 'R270'), ('R90', 3, 'R0'),
+('R180', 0, 'R180'), ('R180', 1, 'R270'), ('R180', 2, 'R0'), ('R180', 3, 'R90'),
+('R270', 0, 'R270'), ('R270', 1, 'R0'), ('R270', 2, 'R90'), ('R270', 3, 'R180'),
+('MX', 0, 'MX'), ('MX', 1, 'MXR90'), ('MX', 2, 'MY'), ('MX', 3, 'MYR90'),
+('MY', 0, 'MY'), ('MY', 1, 'MYR90'), ('MY', 2, 'MX'), ('MY', 3, 'MXR90'),
+('MXR90', 0, 'MXR90'), ('MXR90', 1, 'MY'), ('MXR90', 2, 'MYR90'), ('MXR90', 3, 'MX'),
+('MYR90', 0, 'MYR90'), ('MYR90', 1, 'MX'), ('MYR90', 2, 'MXR90'), ('MYR90', 3, 'MY')
+"""
 
 
 @query("net_orientation", f"""WITH {BOXES_SQL}, a AS (SELECT id, orientation, (x % 1440) / 2.0::DOUBLE - 360 AS deg FROM boxes), m(o, k, net) AS (VALUES {_NET}),
@@ -349,15 +359,25 @@ def level_of_detail(spark, sf):
     return boxes(spark, sf).select("id", G.level_of_detail(F.lit(8.0) / F.col("h"), 4, current).alias("level"))
 
 
-_CLICKS = [(10.2, 6.1), (70.4, 8.0), (69.0, 40.3), (44.6, 42.0), (45.0, 55.2), (12.0, 54.0)]
+_SHAPE_SQL = "SELECT c_custkey AS polygon, c_custkey % 7 AS x0, c_custkey % 5 AS y0, 9 + c_custkey % 11 AS w, 8 + c_custkey % 9 AS h, 2 + c_custkey % 3 AS nw, 3 + c_custkey % 4 AS nh FROM customer"
 
 
-@query("polygon_mask", "WITH g AS (SELECT range % 96 AS x, range // 96 AS y FROM range(6144)) SELECT y, count(*)::BIGINT AS n, min(x) AS first_x, max(x) AS last_x FROM g WHERE x >= 12 AND x < 70 AND y >= 6 AND y < 55 AND NOT (x >= 45 AND y >= 40) GROUP BY y")
+@query(
+    "polygon_mask",
+    f"""WITH s AS ({_SHAPE_SQL}), g AS (SELECT s.*, unnest(range(y0, y0 + h)) AS y FROM s)
+SELECT polygon, y, (CASE WHEN y >= y0 + h - nh THEN w - nw ELSE w END)::BIGINT AS n, x0 AS first_x, (CASE WHEN y >= y0 + h - nh THEN x0 + w - nw - 1 ELSE x0 + w - 1 END)::BIGINT AS last_x FROM g""",
+)
 def polygon_mask(spark, sf):
-    """The pixels of each row inside a right-angled polygon drawn by six clicks; the last one is closed along its column, x = 12."""
-    grid = spark.range(6144).select((F.col("id") % 96).alias("x"), F.floor(F.col("id") / 96).alias("y"))
-    inside = grid.where(G.in_polygon(F.col("x"), F.col("y"), G.rectilinear(_CLICKS)))
-    return inside.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("first_x"), F.max("x").alias("last_x"))
+    """The pixels of each row of right-angled polygons, one a customer, drawn by six unsteady clicks with a corner cut out; the last one is closed along its column."""
+    key = F.col("c_custkey")
+    x0, y0, w, h, nw, nh = key % 7, key % 5, 9 + key % 11, 8 + key % 9, 2 + key % 3, 3 + key % 4
+    click = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    clicks = F.array(click(x0 + 0.2, y0 + 0.1), click(x0 + w + 0.4, y0 + 1.3), click(x0 + w - 0.9, y0 + h - nh + 0.3), click(x0 + w - nw - 0.4, y0 + h - nh + 1.2), click(x0 + w - nw + 0.6, y0 + h - 0.3), click(x0 - 0.4, y0 + h - 0.6))
+    drawn = table(spark, sf, "customer").select(key.alias("polygon"), G.right_angled(clicks).alias("corners"))
+    box = drawn.select("*", F.explode(F.sequence(F.array_min(F.transform("corners", lambda c: c["y"])), F.array_max(F.transform("corners", lambda c: c["y"])))).alias("y"))
+    grid = box.select("*", F.explode(F.sequence(F.array_min(F.transform("corners", lambda c: c["x"])), F.array_max(F.transform("corners", lambda c: c["x"])))).alias("x"))
+    inside = grid.where(G.in_polygon(F.col("x"), F.col("y"), F.col("corners")))
+    return inside.groupBy("polygon", "y").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("first_x"), F.max("x").alias("last_x"))
 
 
 @query("memory_sources", """WITH d AS (SELECT o_orderkey AS entry, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE 'image-' || o_custkey END AS source_image FROM orders), i AS (SELECT DISTINCT 'image-' || c_custkey AS image_id FROM customer WHERE c_custkey % 3 = 0)
