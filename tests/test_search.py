@@ -301,3 +301,16 @@ def test_match_template_in_sql(spark):
     found = spark.sql("SELECT m.* FROM whole t CROSS JOIN pattern p, LATERAL match_template(t.data, t.h, t.w, t.nc, p.data, p.h, p.w, 'ncc', 0.97D) m").collect()
     assert {(r["x"], r["y"]) for r in found} == set(places) and all(r["score"] > 0.99 for r in found)
     assert spark.sql("SELECT m.* FROM pattern p, LATERAL match_template(p.data, 2, 2, 3, p.data, p.h, p.w, 'ncc', 0.5D) m").count() == 0
+
+
+def test_resampled_templates_equal_the_kernel(spark):
+    from tilequarry.operators.dense import resampled
+
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 256, (10, 12))
+    rows = spark.createDataFrame([(x, y, "r", int(a[y, x])) for y in range(10) for x in range(12)], "tx long, ty long, c string, t long")
+    for w, h in ((12, 10), (10, 8), (15, 12), (24, 20)):
+        got = np.zeros((h, w))
+        for r in resampled(rows, 12, 10, w, h).collect():
+            got[r.ty, r.tx] = r.t
+        assert np.abs(got - K.resample(a.astype(float), h, w)).max() <= 0.5 + 1e-9

@@ -94,3 +94,19 @@ def pooled(pixels: DataFrame, whole: bool = True) -> DataFrame:
     """The next pyramid level: means of 2 x 2 cells, odd edges dropped; whole: (sum + 2) >> 2, else the plain mean."""
     v = F.shiftright(F.sum("v") + 2, 2) if whole else F.avg("v")
     return pixels.groupBy(F.floor(F.col("x") / 2).alias("x"), F.floor(F.col("y") / 2).alias("y")).agg(v.alias("v"), F.count(F.lit(1)).alias("n")).where("n = 4").drop("n")
+
+
+def resampled(template: DataFrame, w: int, h: int, new_w: int, new_h: int) -> DataFrame:
+    """tx, ty, c, t of a w x h template (tx, ty, c, t: whole numbers) at another size: bilinear, pixel centres aligned at the edges, rounded half up.
+
+    Whole numbers only: a pixel's place is counted in halves of a new pixel, its four neighbours meet it by an equi-join.
+    """
+    tx, ty = (F.col("id") % new_w).alias("tx"), F.floor(F.col("id") / new_w).alias("ty")
+    place = lambda at, size, new: F.greatest(F.lit(0), F.least((2 * F.col(at) + 1) * size - new, F.lit((size - 1) * 2 * new))).cast("long")
+    grid = template.sparkSession.range(new_w * new_h).select(tx, ty).select("tx", "ty", place("tx", w, new_w).alias("px"), place("ty", h, new_h).alias("py"))
+    near = lambda at, new: F.explode(F.array(*[F.floor(F.col(at) / (2 * new)).cast("long") + i for i in (0, 1)]))
+    share = lambda at, own, new: 2 * new - F.abs(F.col(at) - F.col(own) * (2 * new))
+    around = grid.withColumn("sx", near("px", new_w)).withColumn("sy", near("py", new_h)).withColumn("share", share("px", "sx", new_w) * share("py", "sy", new_h)).where("share > 0")
+    source = template.select(F.col("tx").alias("sx"), F.col("ty").alias("sy"), "c", "t")
+    whole = 4 * new_w * new_h
+    return around.join(source, ["sx", "sy"]).groupBy("tx", "ty", "c").agg(F.floor((2 * F.sum(F.col("t") * F.col("share")) + whole) / (2 * whole)).cast("long").alias("t"))

@@ -135,20 +135,19 @@ def ncc_orientations(spark, sf):
 
 _SCALES = ((0.8, 10, 8), (1.0, 12, 10), (1.25, 15, 12))
 _SCALED = " UNION ALL ".join(
-    f"SELECT '{s}' AS variant, gx.i AS tx, gy.i AS ty, p.c, p.t FROM (SELECT unnest(range({w})) AS i) gx, (SELECT unnest(range({h})) AS i) gy, ({_PLAIN}) p WHERE p.tx = floor((gx.i + 0.5) * {SW} / {w}) AND p.ty = floor((gy.i + 0.5) * {SH} / {h})" for s, w, h in _SCALES
+    f"""SELECT '{s}' AS variant, g.tx, g.ty, p.c, (2 * sum(p.t * greatest(0, {2 * w} - abs(g.px - p.tx * {2 * w})) * greatest(0, {2 * h} - abs(g.py - p.ty * {2 * h})))::BIGINT + {4 * w * h}) // {8 * w * h} AS t
+FROM (SELECT gx.i AS tx, gy.i AS ty, greatest(0, least((2 * gx.i + 1) * {SW} - {w}, {(SW - 1) * 2 * w})) AS px, greatest(0, least((2 * gy.i + 1) * {SH} - {h}, {(SH - 1) * 2 * h})) AS py
+      FROM (SELECT unnest(range({w})) AS i) gx, (SELECT unnest(range({h})) AS i) gy) g, ({_PLAIN}) p GROUP BY g.tx, g.ty, p.c"""
+    for s, w, h in _SCALES
 )
 
 
 @query("ncc_multiscale", f"WITH {_scores_sql('red', 'ncc', _SCALED)} {_OUT}")
 def ncc_multiscale(spark, sf):
-    """Nearest-neighbour templates of three scales; sides round half to even and are 8 at least."""
+    """Bilinear templates of three scales; sides round half to even and are 8 at least."""
     channels = _channels(raster(spark, sf), "red")
-    plain = _template(channels).withColumnsRenamed({"tx": "px", "ty": "py"})
-    parts = []
-    for scale, w, h in ((s, max(8, round(SW * s)), max(8, round(SH * s))) for s, _, _ in _SCALES):
-        grid = spark.range(w * h).select((F.col("id") % w).alias("tx"), F.floor(F.col("id") / w).alias("ty"))
-        near = (F.floor((F.col("tx") + 0.5) * SW / w) == F.col("px")) & (F.floor((F.col("ty") + 0.5) * SH / h) == F.col("py"))
-        parts.append(grid.join(F.broadcast(plain), near).select(F.lit(str(scale)).alias("variant"), "tx", "ty", "c", "t"))  # a template
+    plain = _template(channels)
+    parts = [D.resampled(plain, SW, SH, max(8, round(SW * s)), max(8, round(SH * s))).select(F.lit(str(s)).alias("variant"), "tx", "ty", "c", "t") for s, _, _ in _SCALES]
     return _rounded(D.scores(channels, parts[0].unionByName(parts[1]).unionByName(parts[2])))
 
 
