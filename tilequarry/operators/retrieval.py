@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +45,80 @@ def exemplars(candidates: DataFrame, examples: DataFrame, key: str) -> DataFrame
     return best.withColumn("kept", F.col("positive").isNotNull() & (F.col("negative").isNull() | (F.col("positive") >= F.col("negative"))))
 
 
+#: Descriptors of the template that a task compares with at a time, and that one pass over the image takes.
+BLOCK = 2048
+#: Squared distances from matrix products are this exact; what lies closer to a limit is measured directly.
+SLACK = 1e-6
+
+
+def _matrix(vectors) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 0))
+
+
+def _direct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows, to nine digits."""
+    return np.round(np.sqrt(((a - b) ** 2).sum(axis=1)), 9)
+
+
+def _squares(image: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Squared distances of every row of image and own, by a matrix product."""
+    return (image * image).sum(axis=1)[:, None] + (own * own).sum(axis=1)[None, :] - 2 * image @ own.T
+
+
+def _passes(template: DataFrame):
+    """The template's (q, qv) in parts of MAX_QUERIES rows or so, each sorted by q, on the driver: a part is bounded, their number is not."""
+    parts = -(-template.count() // MAX_QUERIES) or 1
+    for k in range(parts):
+        rows = template.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == k).select("q", "qv").where("q IS NOT NULL AND qv IS NOT NULL").orderBy("q").collect()
+        if rows:
+            yield np.array([r["q"] for r in rows], dtype=np.int64), _matrix([r["qv"] for r in rows])
+
+
 def nearest(template: DataFrame, image: DataFrame, k: int) -> DataFrame:
-    """q, t, distance, rank: of each template descriptor its k nearest image descriptors (Euclidean)."""
-    d = F.sqrt(F.aggregate(F.zip_with("qv", "tv", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda acc, x: acc + x))
-    pairs = image.join(few(template), F.lit(True)).select("q", "t", F.round(d, 9).alias("distance"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "t"))).where(F.col("rank") <= k)
+    """q, t, distance, rank: of each template descriptor (q, qv) its k nearest image descriptors (t, tv), Euclidean; equal distances by t.
+
+    A task multiplies blocks and keeps k rows a query while it reads, so k rows a query and task are shuffled, not all pairs.
+    Distances that decide are measured directly. A template of more than MAX_QUERIES descriptors takes as many passes.
+    """
+    spark, out = image.sparkSession, None
+    for ids, own in _passes(template):
+        shared = spark.sparkContext.broadcast((ids, own))  # MAX_QUERIES vectors or so
+
+        def scan(frames, shared=shared):
+            ids, own = shared.value
+            held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for _ in range(0, len(ids), BLOCK)]
+            for frame in frames:
+                frame = frame[frame["t"].notna() & frame["tv"].notna()]
+                for first in range(0, len(frame), 1024):
+                    part = frame.iloc[first : first + 1024]
+                    t, vectors = part["t"].to_numpy(dtype=np.int64), _matrix(part["tv"].tolist())
+                    for n, at in enumerate(range(0, len(ids), BLOCK)):
+                        some = own[at : at + BLOCK]
+                        squares = _squares(vectors, some)
+                        q, old, d = held[n]
+                        limit = np.full(len(some), np.inf)
+                        if len(q):  # the k-th distance of queries that have k already
+                            counts = np.bincount(q, minlength=len(some))
+                            worst = np.zeros(len(some))
+                            np.maximum.at(worst, q, d)
+                            limit = np.where(counts >= k, worst * worst, np.inf)
+                        if len(t) > k:
+                            limit = np.minimum(limit, np.partition(squares, k - 1, axis=0)[k - 1])
+                        i, j = np.nonzero(squares <= limit + SLACK * (1 + np.abs(np.where(np.isfinite(limit), limit, 0))))
+                        q, old, d = np.concatenate((q, j)), np.concatenate((old, t[i])), np.concatenate((d, _direct(vectors[i], some[j])))
+                        order = np.lexsort((old, d, q))
+                        q, old, d = q[order], old[order], d[order]
+                        rank = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+                        held[n] = q[rank < k], old[rank < k], d[rank < k]
+            for n, at in enumerate(range(0, len(ids), BLOCK)):
+                q, t, d = held[n]
+                yield pd.DataFrame({"q": ids[at + q], "t": t, "distance": d})
+
+        one = image.select(F.col("t").cast("long").alias("t"), "tv").mapInPandas(scan, "q long, t long, distance double")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = spark.createDataFrame([], "q long, t long, distance double")
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "t"))).where(F.col("rank") <= k)
 
 
 def good_limit(detector: str, ratio: float) -> float:
@@ -56,11 +127,42 @@ def good_limit(detector: str, ratio: float) -> float:
 
 
 def ratio_matches(template: DataFrame, image: DataFrame, ratio: float = 0.9) -> DataFrame:
-    """t, q, d1, d2: image descriptors whose nearest template descriptor is near, and clearly nearer than the second one."""
-    d = F.sqrt(F.aggregate(F.zip_with("qv", "tv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x))
-    pairs = image.join(few(template), F.lit(True)).select("q", "t", F.round(d, 9).alias("d"))
-    two = pairs.groupBy("t").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "q"))), 1, 2).alias("two")).where(F.size("two") == 2)
-    out = two.select("t", F.col("two")[0]["q"].alias("q"), F.col("two")[0]["d"].alias("d1"), F.col("two")[1]["d"].alias("d2"))
+    """t, q, d1, d2: image descriptors whose nearest template descriptor is near, and clearly nearer than the second one; equal distances by q.
+
+    Each image descriptor is decided in the task that reads it, by matrix products with blocks of the template. Templates of more
+    than MAX_QUERIES descriptors are refused.
+    """
+    few(template)
+    parts = list(_passes(template))
+    order = np.argsort(np.concatenate([i for i, _ in parts])) if parts else np.zeros(0, int)
+    if len(order) < 2:
+        return image.sparkSession.createDataFrame([], "t long, q long, d1 double, d2 double")
+    shared = image.sparkSession.sparkContext.broadcast((np.concatenate([i for i, _ in parts])[order], np.concatenate([v for _, v in parts])[order]))
+
+    def scan(frames):
+        ids, own = shared.value
+        for frame in frames:
+            frame = frame[frame["t"].notna() & frame["tv"].notna()]
+            for first in range(0, len(frame), 256):
+                part = frame.iloc[first : first + 256]
+                vectors = _matrix(part["tv"].tolist())
+                rows, cols = [], []
+                limit = np.full(len(part), np.inf)
+                for at in range(0, len(ids), BLOCK):
+                    squares = _squares(vectors, own[at : at + BLOCK])
+                    if squares.shape[1] > 1:
+                        limit = np.minimum(limit, np.partition(squares, 1, axis=1)[:, 1])
+                    i, j = np.nonzero(squares <= (limit + SLACK * (1 + np.abs(np.where(np.isfinite(limit), limit, 0))))[:, None])
+                    rows.append(i)
+                    cols.append(j + at)
+                i, j = np.concatenate(rows), np.concatenate(cols)
+                d = _direct(vectors[i], own[j])
+                sort = np.lexsort((j, d, i))
+                i, j, d = i[sort], j[sort], d[sort]
+                lead = np.searchsorted(i, np.arange(len(part)), side="left")
+                yield pd.DataFrame({"t": part["t"].to_numpy(dtype=np.int64), "q": ids[j[lead]], "d1": d[lead], "d2": d[lead + 1]})
+
+    out = image.select(F.col("t").cast("long").alias("t"), "tv").mapInPandas(scan, "t long, q long, d1 double, d2 double")
     return out.where((F.col("d1") <= 0.65) & ((F.col("d1") < ratio * F.col("d2")) | (F.col("d1") < 0.18)))
 
 
