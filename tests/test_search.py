@@ -110,6 +110,17 @@ def test_saved_results(spark, tmp_path):
             read(bad)
 
 
+def test_saved_searches_run_again(spark, tmp_path):
+    store = {"entries": [{"params": {"method": "ssd", "scales": [1.0, 0.5], "channel_mode": "rgb", "rgb_weights": [0.6, 0.2, 0.2], "max_results": 7}, "matches": []}, {"method": "ccorr", "threshold": 0.7, "matches": []}]}
+    M.save(spark, store, str(tmp_path / "s"))
+    first, second = M.params_of(M.load(spark, str(tmp_path / "s"))).orderBy("entry").collect()
+    assert {k: first[k] for k in M.DEFAULTS} == {**M.DEFAULTS, **store["entries"][0]["params"]} and {k: second[k] for k in M.DEFAULTS} == M.DEFAULTS
+    old = M.params_of(M.parse(spark.createDataFrame([(json.dumps({"entries": [store["entries"][1]]}),)], "document string"))).first()
+    assert (old["method"], old["threshold"], old["feature_ratio"]) == ("ccorr", 0.7, 0.75)
+    assert SearchParams.saved(first) == SearchParams(method="ssd", scales=(1.0, 0.5), channel_mode="rgb", weights=(0.6, 0.2, 0.2), max_results=7)
+    assert SearchParams.saved(second) == SearchParams()
+
+
 def test_semantic_windows(spark):
     from tilequarry.operators import semantic
 

@@ -135,6 +135,27 @@ def memory_json_roundtrip(spark, sf):
     return M.matches_of(M.parse(documents), "saved_entry").drop("entry")
 
 
+_DETECTORS = ("orb", "akaze", "sift")
+
+
+@query("memory_params", """SELECT o_orderkey AS saved_entry, 0.5::DOUBLE + (o_orderkey % 50) / 100.0::DOUBLE AS threshold, 0.5::DOUBLE AS threshold_floor, CASE WHEN o_orderkey % 3 = 0 THEN [1.0::DOUBLE] ELSE [0.5::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE] END AS scales,
+CASE WHEN o_orderkey % 5 = 0 THEN [0.0::DOUBLE, 90.0::DOUBLE] END AS rotations, CASE WHEN o_orderkey % 7 = 0 THEN 500 ELSE (o_orderkey % 900)::INT END AS max_results, 0.3::DOUBLE AS nms_iou, 0.25::DOUBLE AS exclude_iou, 'auto' AS device, 'float32' AS compute_dtype,
+CASE WHEN o_orderkey % 2 = 0 THEN 'rgb' ELSE 'luminance' END AS channel_mode, [0.5::DOUBLE, 0.25::DOUBLE, 0.25::DOUBLE] AS rgb_weights, round(1 / 3.0::DOUBLE, 9) AS ycbcr_weight, CASE o_orderkey % 3 WHEN 0 THEN 'ncc' WHEN 1 THEN 'ssd' ELSE 'fuzzy' END AS method,
+o_orderkey % 4 = 0 AS enable_rotation, FALSE AS enable_flipping, (['orb', 'akaze', 'sift'])[o_orderkey % 3 + 1] AS feature_detector, 0.75::DOUBLE AS feature_ratio, (4 + o_orderkey % 9)::INT AS feature_min_inliers, 100 AS feature_max_instances
+FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+def memory_params(spark, sf):
+    """All nineteen parameters of each order's saved search, some left out, written as JSON and read back."""
+    k = F.col("o_orderkey")
+    some = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    params = F.struct(
+        (0.5 + (k % 50) / 100).alias("threshold"), F.when(k % 3 != 0, some((0.5, 1, 2))).alias("scales"), F.when(k % 5 == 0, some((0, 90))).alias("rotations"), F.when(k % 7 != 0, (k % 900).cast("int")).alias("max_results"),
+        F.lit(0.25).alias("exclude_iou"), F.when(k % 2 == 0, "rgb").alias("channel_mode"), some((0.5, 0.25, 0.25)).alias("rgb_weights"), F.when(k % 3 == 1, "ssd").when(k % 3 == 2, "fuzzy").alias("method"),
+        F.when(k % 4 == 0, True).alias("enable_rotation"), F.element_at(F.array(*map(F.lit, _DETECTORS)), (k % 3 + 1).cast("int")).alias("feature_detector"), (4 + k % 9).cast("int").alias("feature_min_inliers"),
+    )
+    documents = M.entries_json(saved(spark, sf), "entry", table(spark, sf, "orders").select(k.alias("entry"), params.alias("params"))).withColumnRenamed("entry", "saved_entry")
+    return M.params_of(M.parse(documents), "saved_entry").drop("entry").withColumn("ycbcr_weight", F.round(F.col("ycbcr_weights")[0], 9)).drop("ycbcr_weights")
+
+
 @query("unit_deviation", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT vec_id, list_transform(e, lambda x: x - list_sum(e) / len(e)) AS c FROM v)
 SELECT vec_id, list_transform(c, lambda x: round(x / (sqrt(list_sum(list_transform(c, lambda y: y * y))) + 1e-6), 6)) AS vector FROM d""")
 def unit_deviation(spark, sf):
