@@ -13,7 +13,7 @@ from tilequarry.plans.registry import query
 from tilequarry.plans.request import SearchParams, SearchRequest
 from tilequarry.sources import images as I
 from tilequarry.sources.derived import HEIGHT, RASTER_SQL, SOURCE, WIDTH, raster, table
-from tilequarry.streaming.requests import debounced_stream
+from tilequarry.streaming.requests import debounced_stream, staging_gate
 
 TILE = 32
 
@@ -67,3 +67,26 @@ def debounce_stream(spark, sf):
     started = debounced_stream(stream, "2 hours", "0 seconds").writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").outputMode("append").trigger(availableNow=True).start()
     started.awaitTermination()
     return spark.read.parquet(f"{base}/out").where("session >= 0").select("session", "request")
+
+
+@query(
+    "staging_gate",
+    """WITH e AS (SELECT user_id AS session, event_id AS request, ts, event_type = 'error' AS staged FROM events),
+s AS (SELECT session, min(struct_pack(ts := ts, request := request)) AS first FROM e WHERE staged GROUP BY session),
+r AS (SELECT e.session, e.request, e.ts, s.first.ts AS open_ts, s.first.request AS open_request FROM e JOIN s ON s.session = e.session WHERE NOT e.staged),
+w AS (SELECT *, (ts, request) < (open_ts, open_request) AS early FROM r)
+SELECT session, request, ts AS at FROM w WHERE NOT early UNION ALL
+SELECT session, arg_max(request, struct_pack(ts := ts, request := request)) AS request, any_value(open_ts) AS at FROM w WHERE early GROUP BY session""",
+)
+def staging_gate_stream(spark, sf):
+    """The requests of `events`, read as a stream in four batches, that a session's first error lets pass."""
+    base = new_folder(spark, "gate")
+    events = table(spark, sf, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("request"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("staged"))
+    cuts = events.agg(F.min("ts").cast("double").alias("a"), F.max("ts").cast("double").alias("b")).first()
+    quarter = F.least(F.floor((F.col("ts").cast("double") - cuts["a"]) / max((cuts["b"] or 0) - (cuts["a"] or 0), 1e-6) * 4), F.lit(3)) if cuts["a"] is not None else F.lit(0)
+    for k in range(4):  # older files first
+        events.where(quarter == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    started = staging_gate(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").outputMode("append").trigger(availableNow=True).start()
+    started.awaitTermination()
+    return spark.read.parquet(f"{base}/out")

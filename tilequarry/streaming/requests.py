@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,27 @@ def run_latest(stream: DataFrame, search: Callable[[DataFrame], None], checkpoin
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
 
 
-def ready(requests: DataFrame, staged: DataFrame) -> DataFrame:
-    """Requests whose image is staged; the others wait for a later batch."""
-    return requests.join(staged.select("image_id").distinct(), "image_id", "left_semi")
+def staging_gate(events: DataFrame) -> DataFrame:
+    """session, request, at: when each request of a stream may run.
+
+    events: session, request, ts and staged (true: the session's image is ready now; a request otherwise). Before that a session
+    keeps its newest request, older ones are stale and dropped; the one kept runs when the image is staged, and later ones at once.
+    State is one number a session. A batch's rows go by time, then request; batches go as they arrive.
+    """
+
+    def step(key, frames, state):
+        is_open, parked = state.get if state.exists else (False, None)
+        rows, out = pd.concat(list(frames)).sort_values(["ts", "request"]), []
+        for ts, request, staged in zip(rows["ts"], rows["request"].tolist(), rows["staged"].tolist(), strict=True):
+            if staged:
+                if parked is not None:
+                    out.append((key[0], parked, ts))
+                is_open, parked = True, None
+            elif is_open:
+                out.append((key[0], request, ts))
+            else:
+                parked = request
+        state.update((is_open, parked))
+        yield pd.DataFrame({"session": pd.array([r[0] for r in out], dtype="int64"), "request": pd.array([r[1] for r in out], dtype="int64"), "at": pd.to_datetime([r[2] for r in out])})
+
+    return events.select("session", "request", "ts", "staged").groupBy("session").applyInPandasWithState(step, "session long, request long, at timestamp", "is_open boolean, parked long", "append", "NoTimeout")
